@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 
@@ -15,6 +16,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def _scored(scored: DataFrame, held_out) -> DataFrame:
+    out = scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *[c for c in scored.columns if c not in ("doc_id", "score")])
+    return out
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train_model
+
+    docs, held_out = read(spark, sf_dir, "documents"), lambda i: fold(i, 4) == 2
+    return _scored(score_documents(docs, train_model(docs, read(spark, sf_dir, "labels"), held_out)), held_out)
+
+
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents, train_model
+
+    docs, held_out = read(spark, sf_dir, "documents"), lambda i: fold(i, 5) == 0
+    return _scored(score_documents(docs, train_model(docs, read(spark, sf_dir, "labels"), held_out)), held_out)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert import hilbert_shards
 
@@ -48,7 +73,7 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_hilbert_shards, op4_byte_bpe, op6_fertility_rules, op8_weighted_fingerprints, op10_power_of_two_packing)
+    f.__name__: f for f in (op1_toxicity, op2_quality_discriminant, op3_hilbert_shards, op4_byte_bpe, op6_fertility_rules, op8_weighted_fingerprints, op10_power_of_two_packing)
 }
 
 #: The ten operators have no SQL here: vocabularies, models and graph closures are outside it, or too slow on whole tables.
