@@ -66,6 +66,12 @@ def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -73,7 +79,7 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_discriminant, op3_hilbert_shards, op4_byte_bpe, op6_fertility_rules, op8_weighted_fingerprints, op10_power_of_two_packing)
+    f.__name__: f for f in (op1_toxicity, op2_quality_discriminant, op3_hilbert_shards, op4_byte_bpe, op6_fertility_rules, op8_weighted_fingerprints, op9_bbit_minhash, op10_power_of_two_packing)
 }
 
 #: The ten operators have no SQL here: vocabularies, models and graph closures are outside it, or too slow on whole tables.
