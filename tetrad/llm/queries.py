@@ -54,12 +54,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff import backoff_scores
+
+    return backoff_scores(read(spark, sf_dir, "documents"))
+
+
 def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fertility import rule_measures
 
     return rule_measures(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_documents
 
@@ -79,7 +91,7 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_discriminant, op3_hilbert_shards, op4_byte_bpe, op6_fertility_rules, op8_weighted_fingerprints, op9_bbit_minhash, op10_power_of_two_packing)
+    f.__name__: f for f in (op1_toxicity, op2_quality_discriminant, op3_hilbert_shards, op4_byte_bpe, op5_stupid_backoff, op6_fertility_rules, op7_suffix_repeats, op8_weighted_fingerprints, op9_bbit_minhash, op10_power_of_two_packing)
 }
 
 #: The ten operators have no SQL here: vocabularies, models and graph closures are outside it, or too slow on whole tables.
