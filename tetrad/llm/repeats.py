@@ -111,8 +111,9 @@ class Block:
     """A block's rows by (doc_id, tag), end to end as bytes."""
 
     def __init__(self, table: pa.Table):
-        order = table.to_pandas().sort_values(["doc_id", "tag"], kind="stable", na_position="first").index.to_numpy()
+        order = table.select(["doc_id", "tag"]).to_pandas().sort_values(["doc_id", "tag"], kind="stable", na_position="first").index.to_numpy()
         table = table.take(pa.array(order))
+        self.rows = table
         self.doc_id = table.column("doc_id")
         self.tag = np.asarray(table.column("tag"))
         self.raw = [t.encode() for t in table.column("text").to_pylist()]
@@ -219,13 +220,13 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(names)})
 
 
-def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK, shard_bytes: int = SHARD):
+def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK, shard_bytes: int = SHARD, more: tuple = ()):
     """The blocked documents with, for each block, the verdicts of all shards; and the function that marks a block's bytes."""
     ship(docs.sparkSession)
-    docs = texts(docs)
+    docs = texts(docs, *more)
     blocks = block_count(docs, block_bytes)
     shards = max(8, -(-blocks * block_bytes // shard_bytes))
-    blocked = in_blocks(docs, blocks).select("block", "doc_id", "text", F.xxhash64("text").alias("tag"))
+    blocked = in_blocks(docs, blocks).select("block", "doc_id", "text", F.xxhash64("text").alias("tag"), *more)
 
     def anchors_of(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -333,3 +334,28 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v, out[k]) for k, v in rows.items()})
 
     return blocked.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(run, ddl(out))
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns and rows, and texts without the bytes that remove_repeats removes; n_chars follows.
+
+    A character of which a cut leaves only some bytes goes too. A null text stays null.
+    """
+    from pyspark.sql import types as T
+
+    rest = T.StructType(docs.schema.fields)
+    carried = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    blocked, verdicts, marked = repeated_bytes(carried, more=("__row",))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["__row"]).append_column("__kept", pa.array([], pa.string()))
+        block, gone = marked(left, right)
+        kept = [np.frombuffer(raw, np.uint8)[~gone[end - len(raw) : end]].tobytes().decode(errors="ignore") for raw, end in zip(block.raw, block.ends)]
+        return block.rows.select(["__row"]).append_column("__kept", pa.array(kept, pa.string()))
+
+    schema = T.StructType([T.StructField("__row", rest), T.StructField("__kept", T.StringType())])
+    done = blocked.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(run, schema)
+    text = F.when(F.col("__row.text").isNull(), F.lit(None)).otherwise(F.col("__kept"))
+    new = {"text": text, "n_chars": F.when(F.col("__row.n_chars").isNull(), F.lit(None)).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    return done.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

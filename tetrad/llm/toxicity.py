@@ -208,7 +208,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, held_out, most: in
 def learn_lexicon(train: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[float]]:
     """Terms and weights (log odds of toxic documents) from (text, label) rows; copies of a text count once.
 
-    A term stands in three toxic texts or more (two, of few), in twenty times as large a share of them as of the others,
+    A term stands in 1.2 % of the toxic texts (four at least: fewer are chance, or copies of a text), in twenty times as large a share of them as of the others,
     and its G-statistic is among the ``most_terms`` greatest.
     """
 
@@ -223,14 +223,11 @@ def learn_lexicon(train: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1:
         return [], []
-    least = 3 if n1 >= 100 else 2
+    least = max(4, math.ceil(0.012 * n1))
     counted = once.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     gain = F.col("a") * odds
     rows = counted.where((F.col("a") >= least) & (odds > math.log(20))).select("word", "a", odds.alias("odds")).orderBy(gain.desc(), "word").limit(most_terms).collect()
-    # words of copied toxic texts are rare there; the terms of abuse are in a good share of all toxic texts
-    floor = max(least, 0.012 * n1)
-    rows = [r for r in rows if r["a"] >= floor] or rows[:20]
     return [r["word"] for r in rows], [r["odds"] / math.log(20) for r in rows]
 
 
