@@ -46,8 +46,13 @@ class Relation:
 
 
 def _like(parts: list[Relation]) -> list[Relation]:
-    first = parts[0]
-    return parts if all(r.s == first.s and r.o == first.o for r in parts) else [r.as_terms() for r in parts]
+    """The relations with each side's kind the same in all of them."""
+    s, o = (len({getattr(r, c) for r in parts}) > 1 for c in "so")
+    out = []
+    for r in parts:
+        of = lambda c, kind, turned: (T.term(Value(F.col(c), *kind)) if turned else F.col(c)).alias(c)
+        out.append(Relation(r.df.select(of("s", r.s, s), of("o", r.o, o)), ("term", None) if s else r.s, ("term", None) if o else r.o))
+    return out
 
 
 def relation(path: object, ctx) -> Relation:

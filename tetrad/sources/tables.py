@@ -19,7 +19,7 @@ from ..plans.solutions import Solutions, name_of
 
 NS = "urn:t:"
 
-_KINDS = {"bigint": "integer", "int": "integer", "double": "double", "float": "double", "string": "string", "boolean": "boolean", "timestamp": "dateTime", "date": "dateTime"}
+_KINDS = {"bigint": "integer", "int": "integer", "double": "double", "float": "double", "string": "string", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "dateTime"}
 
 
 @dataclass
