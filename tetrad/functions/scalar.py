@@ -29,7 +29,8 @@ class Scope:
     now: str = "2000-01-01T00:00:00"
 
 
-NULL = F.lit(None)
+def null() -> Column:
+    return F.lit(None)
 
 
 def unbound() -> Value:
@@ -63,7 +64,7 @@ def string(c: Column) -> Value:
 def like(v: Value, c: Column) -> Value:
     """A string result that keeps the language or datatype of an argument."""
     if v.kind == "term":
-        return Value(c, "string", lang=F.nullif(T.language(v), F.lit("")), datatype=F.when(T.language(v) != "", NULL).otherwise(T.datatype(v)))
+        return Value(c, "string", lang=F.nullif(T.language(v), F.lit("")), datatype=F.when(T.language(v) != "", null()).otherwise(T.datatype(v)))
     return Value(c, "string", lang=v.lang, datatype=v.datatype)
 
 
@@ -73,7 +74,7 @@ def text(v: Value) -> Column:
         return v.column
     if v.kind == "term":
         return F.when(T.datatype(v).isin(XSD + "string", RDF + "langString"), T.lexical(v))
-    return NULL.cast("string")
+    return null().cast("string")
 
 
 # comparison ---------------------------------------------------------------------------------------------------------------
@@ -107,7 +108,7 @@ def equal(a: Value, b: Value) -> Column:
     p, q = T.number(a), T.number(b)
     both = T.boolean(a).isNotNull() & T.boolean(b).isNotNull()
     known = lambda v: T.datatype(v).isin(XSD + "string", RDF + "langString", XSD + "boolean", XSD + "dateTime") | T.number(v).isNotNull()
-    return F.when(p.isNotNull() & q.isNotNull(), p == q).when(x == y, True).when(both, T.boolean(a) == T.boolean(b)).when(T.is_literal(a) & T.is_literal(b) & ~(known(a) & known(b)), NULL).when(x.isNotNull() & y.isNotNull(), False)
+    return F.when(p.isNotNull() & q.isNotNull(), p == q).when(x == y, True).when(both, T.boolean(a) == T.boolean(b)).when(T.is_literal(a) & T.is_literal(b) & ~(known(a) & known(b)), null()).when(x.isNotNull() & y.isNotNull(), False)
 
 
 def less(a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
