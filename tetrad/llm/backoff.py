@@ -126,7 +126,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         place = np.arange(len(of)) - np.repeat(np.cumsum(block.sizes) - block.sizes, block.sizes)
         given_up = np.minimum(place + 1, order) - level
         log += given_up * np.log(backoff)
-        sums = np.bincount(of, log, n_docs)
+        sums = np.bincount(of, log, n_docs).astype(np.float64)
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array(block.sizes), "log_score": pa.array(sums), "mean_log_score": pa.array(sums / np.maximum(block.sizes, 1)),
             "backed_off": pa.array(np.bincount(of[given_up > 0], minlength=n_docs).astype(np.int64)),

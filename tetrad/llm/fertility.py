@@ -18,18 +18,19 @@ from .common import Numbers, ddl, record, ship, split_batch, texts
 MOST_WORDS = 700_000
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "HAN", "OTHER", "NONE")
 
-#: (least, most) characters per token; most share of byte tokens; least entropy of tokens, as a share of what as many
-#: different tokens would have. A script's vocabulary is small where the tokeniser saw little of it, so bands differ.
+#: (least, most) characters per token; most share of byte tokens; least entropy of tokens in bits, or half of what the
+#: text's length allows if that is less. A script's vocabulary is small where the tokeniser saw little of it, so bands
+#: differ: what is one token in Latin is several, or bytes, elsewhere.
 BANDS = {
-    "LATIN": ((1.2, 6.5), 0.10, 0.45),
-    "CYRILLIC": ((1.0, 6.0), 0.15, 0.45),
-    "GREEK": ((0.7, 4.0), 0.50, 0.40),
-    "ARABIC": ((0.7, 4.0), 0.50, 0.40),
-    "HEBREW": ((0.6, 4.0), 0.60, 0.40),
-    "DEVANAGARI": ((0.4, 3.0), 0.80, 0.30),
-    "HAN": ((0.3, 2.0), 0.90, 0.30),
-    "OTHER": ((0.25, 6.0), 1.00, 0.25),
-    "NONE": ((0.25, 6.0), 1.00, 0.25),
+    "LATIN": ((1.2, 6.5), 0.10, 3.5),
+    "CYRILLIC": ((1.0, 6.0), 0.15, 3.5),
+    "GREEK": ((0.7, 4.0), 0.50, 3.0),
+    "ARABIC": ((0.7, 4.0), 0.50, 3.0),
+    "HEBREW": ((0.6, 4.0), 0.60, 3.0),
+    "DEVANAGARI": ((0.4, 3.0), 0.80, 2.5),
+    "HAN": ((0.3, 2.0), 0.90, 2.5),
+    "OTHER": ((0.25, 6.0), 1.00, 2.0),
+    "NONE": ((0.25, 6.0), 1.00, 2.0),
 }
 
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -142,13 +143,13 @@ def measure(texts_: list[str], vocabulary: Vocabulary, bands: dict) -> dict[str,
     share = np.bincount(whose, vocabulary.fallback[token], docs) / np.maximum(n_tokens, 1)
     pair, count = np.unique(whose * len(vocabulary.fallback) + token, return_counts=True)
     p = count / n_tokens[pair // len(vocabulary.fallback)]
-    entropy = np.bincount(pair // len(vocabulary.fallback), -p * np.log2(p), docs) / np.log2(np.maximum(np.minimum(n_tokens, len(vocabulary.fallback)), 2))
+    entropy = np.bincount(pair // len(vocabulary.fallback), -p * np.log2(p), docs)
     per_token = word_chars / np.maximum(n_tokens, 1)
     by_script = np.bincount(of * len(SCRIPTS) + vocabulary.script[number], minlength=docs * len(SCRIPTS)).reshape(docs, -1)
     by_script[:, -1] = by_script[:, :-1].sum(1) == 0
     script = by_script.argmax(1)
     low, high, most, least = (np.array([f(bands[s]) for s in SCRIPTS])[script] for f in (lambda b: b[0][0], lambda b: b[0][1], lambda b: b[1], lambda b: b[2]))
-    kept = ~failed & (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least)
+    kept = ~failed & (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= np.minimum(least, 0.5 * np.log2(np.maximum(n_tokens, 1))))
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": [dup_lines(t) for t in texts_], "n_repeat_words": repeated, "base_failed": failed,
         "kept": kept, "script": [SCRIPTS[s] for s in script], "chars_per_token": per_token, "byte_share": share, "token_entropy": entropy,
