@@ -27,7 +27,9 @@ from .fertility import mixed
 from .suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, PIECE = 100, 32
-BLOCK, SHARD = 4 << 20, 24 << 20
+BLOCK, SHARD = 2 << 20, 12 << 20
+#: Bytes of stretches whose suffixes are sorted at one time; a suffix takes about 60 bytes of memory.
+LOT = 2 << 20
 
 OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
@@ -42,7 +44,8 @@ def window_hashes(t: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """Polynomial hashes of all windows of each size (sums of powers of two), by doubling."""
     h, k, parts, out = t.astype(np.uint64) + np.uint64(1), 1, {}, []
     while k <= max(sizes):
-        parts[k] = h
+        if any(size & k for size in sizes):
+            parts[k] = h
         if len(h) <= k:
             break
         h = h[:-k] * _power(k) + h[k:]
@@ -168,10 +171,10 @@ def _judge(entries: dict[str, np.ndarray], strings: np.ndarray, offsets: np.ndar
     bits[lead[alone]] = np.arange(bits.shape[1])[None, :] < count[alone][:, None]
     lead, count = lead[~alone], count[~alone]
     a = 0
-    while a < len(lead):  # lots of whole anchors of about eight million bytes
+    while a < len(lead):  # lots of whole anchors of about LOT bytes
         order = np.argsort(entries["anchor"][lead], kind="stable") if a == 0 else order
         size = np.cumsum(count[order][a:] + LENGTH)
-        b = a + max(1, int(np.searchsorted(size, 8 << 20)))
+        b = a + max(1, int(np.searchsorted(size, LOT)))
         while b < len(lead) and entries["anchor"][lead[order[b]]] == entries["anchor"][lead[order[b - 1]]]:
             b += 1
         some = lead[order[a:b]]

@@ -29,7 +29,7 @@ class _Buckets:
 
     def __init__(self, sizes: np.ndarray, from_end: bool):
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.array = np.empty(self.first[-1], np.int64)
+        self.array = np.empty(self.first[-1], np.int32)
         self.fill = (self.first[1:] if from_end else self.first[:-1]).copy()
         self.from_end = from_end
 
@@ -83,7 +83,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.
         before = before[small[before]]
         if len(before):
             tiny.append(t[before], before)
-    out = np.empty(len(t), np.int64)
+    out = np.empty(len(t), np.int32)
     sizes = np.diff(large.first) + np.diff(tiny.first)
     start = np.cumsum(sizes) - sizes
     out[np.arange(len(large.array)) + np.repeat(start - large.first[:-1], np.diff(large.first))] = large.array
@@ -132,10 +132,10 @@ def _doubled(rank: np.ndarray, rounds: int) -> np.ndarray:
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Order of the suffixes of an array of small integers, right for their first ``depth`` characters at least (or wholly)."""
     n = len(text)
-    t = np.concatenate([text.astype(np.int64) + 1, [0]])
+    t = np.concatenate([text.astype(np.int32) + 1, np.zeros(1, np.int32)])
     sigma = int(t.max()) + 1
     small = classify(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
         first = induce(t, small, lms, sigma)
         is_lms = np.zeros(n + 1, bool)
