@@ -22,22 +22,21 @@ def insert(quads: DataFrame, new: DataFrame) -> DataFrame:
     fact that the next insert of the same quad overlaps ends where that begins. The result does not depend on the order of
     the batch. Quads that the batch does not touch are passed through.
     """
-    new = new.dropDuplicates(FIELDS)
     open_now = quads.where(~F.col("is_deleted") & (F.col("valid_to") >= F.lit(OPEN_FROM).cast("timestamp"))).select(*KEY).distinct()
     is_open = F.col("valid_to") >= F.lit(OPEN_FROM).cast("timestamp")
     fresh = new.where(~is_open).union(new.where(is_open).join(open_now, KEY, "left_anti").select(*new.columns))
     touched = fresh.select(*KEY).distinct()
     aside = quads.join(touched, KEY, "left_anti").select(*quads.columns)
     inside = quads.join(touched, KEY, "left_semi").select(*quads.columns).withColumn("new", F.lit(False)).union(fresh.select(*quads.columns).withColumn("new", F.lit(True)))
+    inside = inside.repartition(*KEY)  # the one shuffle that both windows need
     # what is there already comes first among equal rows
     again = F.row_number().over(Window.partitionBy(*FIELDS).orderBy("new", "is_deleted"))
-    inside = inside.withColumn("again", again).where("again = 1").drop("again")
-    live = inside.where("not is_deleted")
-    by_time = Window.partitionBy(*KEY).orderBy("valid_from", "valid_to", "tx_time")
+    inside = inside.withColumn("again", again).where("again = 1")
+    by_time = Window.partitionBy(*KEY, "is_deleted").orderBy("valid_from", "valid_to", "tx_time")
     after, by_new = F.lead("valid_from").over(by_time), F.lead("new").over(by_time)
-    cut = by_new & (F.col("valid_to") > after) & (F.col("valid_from") < after)
-    live = live.withColumn("valid_to", F.when(cut, after).otherwise(F.col("valid_to")))
-    return aside.union(live.select(*quads.columns)).union(inside.where("is_deleted").select(*quads.columns))
+    cut = ~F.col("is_deleted") & by_new & (F.col("valid_to") > after) & (F.col("valid_from") < after)
+    inside = inside.withColumn("valid_to", F.when(cut, after).otherwise(F.col("valid_to")))
+    return aside.union(inside.select(*quads.columns))
 
 
 def delete(quads: DataFrame, keys: DataFrame, valid_from=None, valid_to=None) -> DataFrame:
