@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, Numbers, block_count, ddl, in_blocks, ship, texts
 from .fertility import mixed

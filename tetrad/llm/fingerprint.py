@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Numbers, block_count, ddl, record, ship, texts
+from .common import BLOCK_BYTES, Numbers, block_count, ddl, ship, texts
 from .fertility import mixed
 
 SAMPLES = 64
@@ -160,14 +160,17 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
     edges = (given.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] or []) if n > 1 else []
     edges = sorted(set(edges))
 
+    def block_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(np.array(edges, np.int64), np.asarray(ids.fill_null(-(2**63))), side="left").astype(np.int32))
+
     def cut(batches):
         for b in batches:
-            ids = np.asarray(b.column("doc_id").fill_null(-(2**63)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(np.array(edges, np.int64), ids, side="left").astype(np.int32))], names=["doc_id", "text", "block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, block_of(b.column("doc_id"))], names=[*b.schema.names, "block"])
 
     blocked = given.mapInArrow(cut, "doc_id long, text string, block int")
     # each block's first row by (doc_id, text), to the block before it; the first of all goes after the last of all
-    firsts = {r["block"]: r["doc_id"] for r in given.select("doc_id").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.searchsorted(np.array(edges, np.int64), np.asarray(b.column("doc_id").fill_null(-(2**63))), side="left").astype(np.int32))], names=["doc_id", "block"]) for b in bs), "doc_id long, block int").groupBy("block").agg(F.when(F.count("*") > F.count("doc_id"), F.lit(None)).otherwise(F.min("doc_id")).alias("doc_id")).collect()}
+    least = F.when(F.count("*") > F.count("doc_id"), F.lit(None)).otherwise(F.min("doc_id"))
+    firsts = {r["block"]: r["doc_id"] for r in given.select("doc_id").mapInArrow(cut, "doc_id long, block int").groupBy("block").agg(least.alias("doc_id")).collect()}
     order = sorted(firsts)
     before = {firsts[b]: a for a, b in zip([order[-1], *order] if order else [], order)}
 
