@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import ddl, record, ship, split_batch, texts
 from .toxicity import labelled
 
-#: Labelled documents of each class that are learned from at most, by a hash of their id.
-MOST_LABELLED = 60_000
+#: About how many labelled documents are learned from at most, by a hash of their id.
+MOST_LABELLED = 40_000
 NAMES = (
     "log_chars", "log_words", "word_length", "upper", "digits", "spaces", "symbols", "marks", "pipes", "shouts", "line_length", "dup_lines",
     "distinct_words", "top_word", "marked_words", "compression", "letters_per_word",

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, record, ship, split_batch, texts
+from .common import checkpointed, ddl, record, ship, split_batch, texts
 
 #: Words that a worker remembers.
 MOST_WORDS = 900_000
-#: The lexicon's size, and how many labelled documents of each class are learned from at most (by a hash of their id).
-MOST_TERMS, MOST_LABELLED = 4_000, 60_000
+#: The lexicon's size, and about how many labelled documents are learned from at most (by a hash of their id).
+MOST_TERMS, MOST_LABELLED = 4_000, 40_000
 
 # Characters that stand for letters in disguised spellings.
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -192,17 +192,15 @@ def in_quotation(chunks: list[str], i: int, reach: int = 12) -> bool:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, held_out, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, text, label) of labelled rows outside the held-out fold, at most about ``most`` of each class.
+    """(doc_id, text, label) of labelled rows outside the held-out fold, about ``most`` of them at most.
 
-    The sample is taken by a hash of the id: a fraction of each class that would leave ``most`` rows, one for each text.
+    The sample is a fraction of all, by a hash of the id, so that classes keep their shares. Its ids are broadcast, which
+    ``most`` bounds, so the texts are not shuffled.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(1.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id"])
-    return texts(docs).join(known, "doc_id")
+    share = min(1.0, most / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    return texts(docs).join(F.broadcast(known), "doc_id")
 
 
 def learn_lexicon(train: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[float]]:
@@ -268,7 +266,7 @@ def weigh(model: Model, train: DataFrame) -> None:
 def train_model(docs: DataFrame, labels: DataFrame, held_out=lambda doc_id: F.lit(False)) -> Model:
     """Learn lexicon and weights from labelled documents outside the held-out fold. Without any, nothing is toxic."""
     ship(docs.sparkSession)
-    train = labelled(docs, labels, "toxic", held_out)
+    train = checkpointed(labelled(docs, labels, "toxic", held_out))  # bounded, and read three times
     model = Model(*learn_lexicon(train))
     weigh(model, train)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_TERMS
