@@ -6,7 +6,9 @@ counting bits, and candidates that may reach the threshold are confirmed on thei
 
 Candidates never are all pairs of a bucket. Every member is first held against its bucket's least class. Links found so
 join classes to components; a bucket whose members then are in one component is done, since further links in it would
-change nothing. In the others, members outside the least class's component are held against members of other components.
+change nothing. Members outside the least class's component are next, in a few rounds, each held against one member of it
+drawn at random, which joins what is linked at all to a large group. Whoever is still outside is held against all members
+of other components, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from .fingerprint import word_hash
 
 WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair of similarity 0.75 is missed by all bands once in 190,000 times, one of 0.8 once in 20 million.
-BANDS, ROWS, BITS = 32, 4, 2
-#: Pairs estimated below this are not confirmed: five and a half standard deviations below the threshold.
-LEAST_ESTIMATE = 0.5
+BANDS, ROWS, BITS = 32, 4, 4
+#: Pairs estimated below this are not confirmed: five standard deviations below the threshold.
+LEAST_ESTIMATE = 0.55
+#: Rounds in which members outside their bucket's main component are held against one random member of it at most.
+MOST_ROUNDS = 3
 #: Members of a bucket that one task holds against as many others.
-CHUNK = 2048
+CHUNK = 1024
+#: Partners of a class that one group of a task confirms, and requests for texts that are broadcast (40 bytes each).
+PARTNERS, MOST_BROADCAST = 256, 500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,7 +109,8 @@ def packed(low: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of packed signatures (last axis: words): the share of equal fields, less that of chance collisions."""
     x = a ^ b
-    x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    x |= x >> np.uint64(1)
+    x = (x | (x >> np.uint64(2))) & np.uint64(0x1111111111111111)
     same = 1 - np.bitwise_count(x).sum(-1) / (BANDS * ROWS)
     return (same - 2.0**-BITS) / (1 - 2.0**-BITS)
 
@@ -124,40 +131,33 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (the set's id), low (its minima); cid and low are null for empty sets. docs: of texts()."""
+    """doc_id, n_shingles, cid (the set's id), keys (of its bands), bits (packed low bits); the last three are null for
+    empty sets. docs: of texts()."""
 
     def run(batches):
         for whole in batches:
             for b in split_batch(whole):
                 sets = _HASHES.sets(b.column("text").to_pylist())
                 full = [s for s in sets if len(s)]
-                low = iter(minima(full) if full else [])
+                low = minima(full)
+                keys, bits = iter(band_keys(low)), iter(packed(low))
+                cid = [int(c) if len(s) else None for s, c in zip(sets, _class_ids(sets))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(c) if len(s) else None for s, c in zip(sets, _class_ids(sets))], pa.int64()), pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "cid", "low"],
+                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), *[pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (keys, bits)]],
+                    names=["doc_id", "n_shingles", "cid", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, low binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, keys binary, bits binary")
 
 
 def _in_bands(classes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                low = np.frombuffer(b"".join(b.column("low").to_pylist()), np.uint32).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(low).ravel()), pa.array(np.repeat(np.asarray(b.column("cid")), BANDS))], names=["bucket", "cid"])
+                keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(b.column("cid")), BANDS))], names=["bucket", "cid"])
 
-    return classes.select("cid", "low").mapInArrow(run, "bucket long, cid long")
-
-
-def _packed_classes(classes: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                bits = packed(np.frombuffer(b"".join(b.column("low").to_pylist()), np.uint32).reshape(b.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["cid", "bits"])
-
-    return classes.select("cid", "low").mapInArrow(run, "cid long, bits binary")
+    return classes.select("cid", "keys").mapInArrow(run, "bucket long, cid long")
 
 
 def _estimated(pairs: DataFrame) -> DataFrame:
@@ -172,60 +172,168 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets link. Texts of only the classes in question are read again."""
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "doc_id"), "cid")
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= threshold * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < threshold * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The wanted rows (doc_id, cid, ...) with the set of their class, from the texts read again.
+
+    What asks for a text is broadcast if it is small; otherwise the texts are shuffled to it.
+    """
+    asked = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
+    types = {n: "long" if t == "bigint" else t for n, t in wanted.dtypes}
 
     def sets_of(batches):
         for whole in batches:
             for b in split_batch(whole):
-                sets = _HASHES.sets(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(_class_ids(sets)), b.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "cid", "set"])
+                texts_: dict[str, int] = {}
+                place = [texts_.setdefault(t, len(texts_)) for t in b.column("text").to_pylist()]
+                sets = _HASHES.sets(list(texts_))
+                own = _class_ids(sets)
+                some = pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array([sets[i].tobytes() for i in place], pa.binary())], names=[*columns, "set"])
+                yield some.filter(pa.array(own[place] == np.asarray(b.column("cid"))))
 
-    sets = checkpointed(docs.join(ends.hint("shuffle_hash"), "doc_id").select("cid", "text").mapInArrow(sets_of, "own long, cid long, set binary").where("own = cid").drop("own").dropDuplicates(["cid"]))
+    return docs.join(asked, "doc_id").select("text", *columns).mapInArrow(sets_of, ", ".join(f"{c} {types[c]}" for c in columns) + ", set binary")
 
-    def run(batches):
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column("set_a"), t.column("set_b")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
-def _across(members: DataFrame, bits: DataFrame) -> DataFrame:
-    """Candidates between components in mixed buckets. members: bucket, cid, leader, comp, leader_comp, n, minor."""
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose full sets link.
+
+    Only the texts of classes in question are read again. Each set travels once for each of its pairs to its partner's
+    bucket of pairs; a class with many partners is split over buckets, which each get its set.
+    """
+    partners = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PARTNERS).cast("int"))
+    split = pairs.join(partners, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    wanted = split.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("side")).union(partners.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0)))
+    wanted = checkpointed(wanted.join(classes.select("cid", "doc_id"), "cid"))
+    groups = max(8, wanted.count() // PARTNERS)
+    sets = _sets(docs, wanted, ["cid", "a", "part", "side"])
+
+    def run(table: pa.Table) -> pa.Table:
+        first: dict = {}
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("a", "part", "side", "cid")], table.column("set")))
+        for a, part, side, _, x in rows:
+            if side == 0:
+                first[a, part] = np.frombuffer(x.as_buffer(), np.uint64)
+        found = {}
+        for a, part, side, b, y in rows:
+            if side == 1 and (a, b) not in found:
+                found[a, b] = similar(first[a, part], np.frombuffer(y.as_buffer(), np.uint64), threshold)
+        linked = [k for k, yes in found.items() if yes]
+        return pa.table({"a": pa.array([k[0] for k in linked], pa.int64()), "b": pa.array([k[1] for k in linked], pa.int64())})
+
+    return sets.groupBy(F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("group")).applyInArrow(run, "a long, b long").distinct()
+
+
+def _told(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their component and that of their bucket's leader, for buckets that hold several components."""
+    of = lambda column, name: comps.select(F.col("node").alias(column), F.col("component").alias(name))
+    told = members.join(of("cid", "comp"), "cid", "left").join(of("leader", "leader_comp"), "leader", "left")
+    told = told.withColumn("comp", F.coalesce("comp", "cid")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
+    several = told.groupBy("bucket").agg(F.sum((F.col("comp") != F.col("leader_comp")).cast("long")).alias("minor")).where("minor > 0")
+    return told.join(several, "bucket")
+
+
+def _drawn(told: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of members outside the leader's component with one random member inside it, for each bucket."""
+    inside = F.col("comp") == F.col("leader_comp")
+    one = told.where(inside).groupBy("bucket").agg(F.min_by("cid", F.xxhash64("cid", "bucket", F.lit(round_))).alias("one"))
+    pairs = told.where(~inside).select("bucket", "cid").join(one, "bucket")
+    return pairs.select(F.least("cid", "one").alias("a"), F.greatest("cid", "one").alias("b")).distinct()
+
+
+def _with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    return pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("bits_b")), "b").select("a", "b", "bits_a", "bits_b")
+
+
+def _across(told: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates between components in mixed buckets, each from the first band that both have in common.
+
+    One row (tile, a, b) for each pair of chunks of a bucket that has any; a and b are arrays, packed as bytes.
+    """
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     minor_chunks = F.greatest(F.lit(1), F.ceil(F.col("minor") / CHUNK)).cast("int")
-    known = members.join(bits, "cid")
+    known = told.join(classes.select("cid", "bits", "keys"), "cid")
     own = F.col("comp") != F.col("leader_comp")
     mine = known.where(own).withColumn("i", F.pmod(F.xxhash64("cid", F.lit(1)), minor_chunks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("side", F.lit(0))
     other = known.withColumn("j", F.pmod(F.xxhash64("cid", F.lit(2)), chunks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), minor_chunks - 1))).withColumn("side", F.when(own, 1).otherwise(2))
-    columns = ["bucket", "i", "j", "side", "cid", "comp", "bits"]
+    columns = ["bucket", "i", "j", "side", "cid", "comp", "bits", "keys"]
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
+        side, bucket = np.asarray(table.column("side")), table.column("bucket")[0].as_py()
         cid, comp = np.asarray(table.column("cid")), np.asarray(table.column("comp"))
         word = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(side), -1)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(side), -1)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         found = []
-        for a in range(0, len(x), 256):
-            s = x[a : a + 256]
+        for a in range(0, len(x), 64):
+            s = x[a : a + 64]
             apart = (comp[s][:, None] != comp[y][None, :]) & ((side[y] == 2)[None, :] | (cid[s][:, None] < cid[y][None, :]))
             p, q = np.nonzero(apart)
-            fit = estimate(word[s[p]], word[y[q]]) >= LEAST_ESTIMATE
-            found.append((cid[s[p[fit]]], cid[y[q[fit]]]))
+            p, q = s[p], y[q]
+            fit = estimate(word[p], word[q]) >= LEAST_ESTIMATE
+            p, q = p[fit], q[fit]
+            same = keys[p] == keys[q]
+            first = keys[p, same.argmax(1)] == bucket if len(p) else np.zeros(0, bool)
+            found.append((cid[p[first]], cid[q[first]]))
         u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+        some = [(f"{bucket} {table.column('i')[0].as_py()} {table.column('j')[0].as_py()}", u.tobytes(), v.tobytes())] if len(u) else []
+        return pa.table({"tile": pa.array([r[0] for r in some], pa.string()), "a": pa.array([r[1] for r in some], pa.binary()), "b": pa.array([r[2] for r in some], pa.binary())})
+
+    return mine.select(*columns).union(other.select(*columns)).groupBy("bucket", "i", "j").applyInArrow(run, "tile string, a binary, b binary")
+
+
+def _confirmed_tiles(tiles: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) among the tiles' candidates, as many as join what they join; each set travels once to each tile.
+
+    Pairs that links found before in the tile already join are not looked at again: their link would change nothing.
+    """
+
+    def members(batches):
+        for t in batches:
+            for tile, a, b in zip(t.column("tile").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist()):
+                cid = np.unique(np.concatenate([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(cid), pa.string()), pa.array(cid)], names=["tile", "cid"])
+
+    wanted = checkpointed(tiles.select("tile", "a", "b").mapInArrow(members, "tile string, cid long").join(classes.select("cid", "doc_id"), "cid"))
+    sets = _sets(docs, wanted, ["cid", "tile"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets_ = {c: np.frombuffer(x.as_buffer(), np.uint64) for c, x in zip(left.column("cid").to_pylist(), left.column("set"))}
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        links = []
+        for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
+            for u, v in zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()):
+                p, q = find(u), find(v)
+                if p != q and similar(sets_[u], sets_[v], threshold):
+                    parent[p] = q
+                    links.append((u, v))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return sets.groupBy("tile").cogroup(tiles.groupBy("tile")).applyInArrow(run, "a long, b long").distinct()
 
-    return mine.select(*columns).union(other.select(*columns)).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b) between their nodes."""
+    of = lambda column, name: comps.select(F.col("node").alias(column), F.col("component").alias(name))
+    wider = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    wider = checkpointed(components(checkpointed(wider.distinct())))
+    old = comps.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return checkpointed(old.union(wider.join(comps.select("node"), "node", "left_anti").select("node", "component")))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -240,27 +348,31 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ship(docs.sparkSession)
     docs = texts(docs)
     signed = checkpointed(signed_documents(docs))
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = checkpointed(classes)
-    bands = _in_bands(classes)
+    bands = _in_bands(classes)  # read twice, for the counts and for the members
     buckets = bands.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = checkpointed(bands.join(buckets, "bucket"))
-    bits = checkpointed(_packed_classes(classes.join(members.select("cid").distinct(), "cid", "left_semi")))
-    first = members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    first = first.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("bits_b")), "b")
-    links = checkpointed(_confirmed(checkpointed(_estimated(first.select("a", "b", "bits_a", "bits_b"))), docs, classes, threshold))
+    bits = classes.select("cid", "bits")
+    confirm = lambda pairs: checkpointed(_confirmed(checkpointed(_estimated(_with_bits(pairs, bits))), docs, classes, threshold))
+    links = confirm(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
     comps = checkpointed(components(links.toDF("u", "v")))
-
-    of = lambda column, name: comps.select(F.col("node").alias(column), F.col("component").alias(name))
-    told = members.join(of("cid", "comp"), "cid", "left").join(of("leader", "leader_comp"), "leader", "left")
-    told = told.withColumn("comp", F.coalesce("comp", "cid")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
-    mixed_ = told.groupBy("bucket").agg(F.sum((F.col("comp") != F.col("leader_comp")).cast("long")).alias("minor")).where("minor > 0")
-    more = checkpointed(_across(told.join(mixed_, "bucket"), bits))
-    second = _confirmed(more, docs, classes, threshold)
-    joined = second.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-    joined = checkpointed(components(checkpointed(joined.distinct())))
-    final = comps.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
-    final = final.union(joined.join(comps.select("node"), "node", "left_anti").select("node", "component"))
+    outside = None
+    for round_ in range(MOST_ROUNDS):
+        told = checkpointed(_told(members, comps))
+        before, outside = outside, told.where("comp <> leader_comp").select("cid").distinct().count()
+        if not outside or (before is not None and outside > 0.8 * before):
+            break
+        links = confirm(_drawn(told, round_))
+        if links.isEmpty():
+            break
+        comps = _joined(comps, links)
+    else:
+        told = checkpointed(_told(members, comps))
+    if outside:
+        final = _joined(comps, checkpointed(_confirmed_tiles(checkpointed(_across(told, classes)), docs, classes, threshold)))
+    else:
+        final = comps
     linked = classes.select("cid", "doc_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(least, "component").select("cid", "component_id")
