@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .common import Numbers, ddl, record, ship, split_batch, texts
 
-MOST_WORDS = 700_000
+MOST_WORDS = 350_000
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "HAN", "OTHER", "NONE")
 
 #: (least, most) characters per token; most share of byte tokens; least entropy of tokens in bits, or half of what the

@@ -41,7 +41,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes:
     """64-bit hashes of words by number, and shingle sets of texts."""
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.number, self.hash = most, Numbers(), np.zeros(0, np.uint64)
 
     def sets(self, bodies: list[str], n: int = WORDS) -> list[np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import Cache, ddl, record, ship, split_batch, texts
 
 #: Pieces between white space that a worker remembers; about 200 bytes each.
-MOST_WORDS = 900_000
+MOST_WORDS = 400_000
 
 OUT = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "bucket": pa.int32()}
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, ddl, record, ship, split_batch, texts
 
 #: Words that a worker remembers.
-MOST_WORDS = 900_000
+MOST_WORDS = 400_000
 #: The lexicon's size, and about how many labelled documents are learned from at most (by a hash of their id).
 MOST_TERMS, MOST_LABELLED = 4_000, 40_000
 
