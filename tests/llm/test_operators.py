@@ -75,6 +75,30 @@ def test_packing_round_trip(edge, empty):
     assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_workers_that_forget_words_code_as_before(monkeypatch):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from tetrad.llm.common import Cache
+
+    cache = Cache(lambda keys: [k * 2 for k in keys], 3)
+    for keys in ([1, 2], [2, 3, 4], [5, 6, 7, 8, 8]):
+        cache.want(k for k in keys)
+        assert all(cache[k] == 2 * k for k in keys)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 5)
+    monkeypatch.setattr(packing, "MOST_WORDS", 5)
+    lots = [[sentence(30, 1), BASE], [BASE + " tail", "it's 123 a-b", ""], [sentence(9, 2)]]
+    ranks = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f, open(vocabulary("word_bpe_49k.json"), "rb") as g:
+        monkeypatch.setattr(bpe, "_CODERS", {})
+        pieces, words = bpe._pieces(f.read(), P.PATTERN), packing.WordCoder(g.read())
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for lot in lots:
+        assert list(pieces.code(lot)) == [(np.array(enc.encode_ordinary(t), "<u4").tobytes(), t.encode()) for t in lot]
+        assert words.code(lot) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in lot]
+
+
 @given(st.integers(1, 100_000))
 def test_decomposition(n):
     parts = packing.decompose(n, 2048)

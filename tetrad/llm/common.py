@@ -85,10 +85,11 @@ class Cache(dict):
         self.fill, self.most = fill, most
 
     def want(self, keys) -> None:
-        missing = [k for k in dict.fromkeys(keys) if k not in self]
+        keys = list(dict.fromkeys(keys))  # callers pass generators, which can be read but once
+        missing = [k for k in keys if k not in self]
         if len(self) + len(missing) > self.most:
             self.clear()
-            missing = list(dict.fromkeys(keys))
+            missing = keys
         if missing:
             self.update(zip(missing, self.fill(missing)))
 
