@@ -229,6 +229,29 @@ def test_near_duplicates(spark, edge, empty):
     assert kept.columns == edge.columns and {2, 3, 10}.isdisjoint({x.doc_id for x in kept.collect()})
 
 
+def test_near_copies_without_an_id(spark):
+    r = np.random.default_rng(7)
+
+    def near(words, n):
+        w = words.copy()
+        w[int(r.integers(0, len(w)))] = f"edit{n}"
+        return " ".join(w)
+
+    rows, nameless = [], {}
+    for g in range(8):  # which side of a pair a text is on goes by its hash
+        words = [f"h{g}w{k}" for k in range(80 + g)]
+        rows += [(100 + g, " ".join(words)), (None, near(words, g))]
+        nameless[len(words) - 4] = 100 + g
+    for g in range(4):
+        words = [f"n{g}w{k}" for k in range(60 + g)]
+        rows += [(None, " ".join(words)), (None, near(words, 50 + g))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id for r in got if r.doc_id is not None and r.kept and r.component_id == r.doc_id} == set(nameless.values())
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None and r.n_shingles in nameless) == sorted((n, i, False) for n, i in nameless.items())
+    assert all(r.component_id is None and r.kept for r in got if r.n_shingles not in nameless)
+
+
 def test_bit_estimates():
     r = np.random.default_rng(1)
     for share in (0.5, 0.75, 0.9):

@@ -131,8 +131,8 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (the set's id), keys (of its bands), bits (packed low bits); the last three are null for
-    empty sets. docs: of texts()."""
+    """doc_id, row, n_shingles, cid (the set's id), keys (of its bands), bits (packed low bits); the last three are null for
+    empty sets. docs: of texts(), with ``row``."""
 
     def run(batches):
         for whole in batches:
@@ -143,11 +143,11 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 keys, bits = iter(band_keys(low)), iter(packed(low))
                 cid = [int(c) if len(s) else None for s, c in zip(sets, _class_ids(sets))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), *[pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (keys, bits)]],
-                    names=["doc_id", "n_shingles", "cid", "keys", "bits"],
+                    [b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), *[pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (keys, bits)]],
+                    names=["doc_id", "row", "n_shingles", "cid", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, keys binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, cid long, keys binary, bits binary")
 
 
 def _in_bands(classes: DataFrame) -> DataFrame:
@@ -184,9 +184,10 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """The wanted rows (doc_id, cid, ...) with the set of their class, from the texts read again.
+    """The wanted rows (row, cid, ...) with the set of their class, from the texts read again.
 
-    What asks for a text is broadcast if it is small; otherwise the texts are shuffled to it.
+    ``row`` is a hash of the id and the text, never null, so that texts without an id are found too. What asks for a text is
+    broadcast if it is small; otherwise the texts are shuffled to it.
     """
     asked = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
     types = {n: "long" if t == "bigint" else t for n, t in wanted.dtypes}
@@ -201,7 +202,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
                 some = pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array([sets[i].tobytes() for i in place], pa.binary())], names=[*columns, "set"])
                 yield some.filter(pa.array(own[place] == np.asarray(b.column("cid"))))
 
-    return docs.join(asked, "doc_id").select("text", *columns).mapInArrow(sets_of, ", ".join(f"{c} {types[c]}" for c in columns) + ", set binary")
+    return docs.join(asked, "row").select("text", *columns).mapInArrow(sets_of, ", ".join(f"{c} {types[c]}" for c in columns) + ", set binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -213,7 +214,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
     partners = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PARTNERS).cast("int"))
     split = pairs.join(partners, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     wanted = split.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("side")).union(partners.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0)))
-    wanted = checkpointed(wanted.join(classes.select("cid", "doc_id"), "cid"))
+    wanted = checkpointed(wanted.join(classes.select("cid", "row"), "cid"))
     groups = max(8, wanted.count() // PARTNERS)
     sets = _sets(docs, wanted, ["cid", "a", "part", "side"])
 
@@ -303,7 +304,7 @@ def _confirmed_tiles(tiles: DataFrame, docs: DataFrame, classes: DataFrame, thre
                 cid = np.unique(np.concatenate([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)]))
                 yield pa.RecordBatch.from_arrays([pa.array([tile] * len(cid), pa.string()), pa.array(cid)], names=["tile", "cid"])
 
-    wanted = checkpointed(tiles.select("tile", "a", "b").mapInArrow(members, "tile string, cid long").join(classes.select("cid", "doc_id"), "cid"))
+    wanted = checkpointed(tiles.select("tile", "a", "b").mapInArrow(members, "tile string, cid long").join(classes.select("cid", "row"), "cid"))
     sets = _sets(docs, wanted, ["cid", "tile"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -346,9 +347,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     columns are ignored; texts of any length count whole.
     """
     ship(docs.sparkSession)
-    docs = texts(docs)
+    docs = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     signed = checkpointed(signed_documents(docs))
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    row = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))), F.min("row"))  # a row with an id, if there is any
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), row.alias("row"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = checkpointed(classes)
     bands = _in_bands(classes)  # read twice, for the counts and for the members
     buckets = bands.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1")
