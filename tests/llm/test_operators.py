@@ -347,6 +347,16 @@ def test_backoff(spark, edge, empty, order):
     assert backoff.backoff_scores(empty).count() == 0
 
 
+def test_registered_backoff_looks_two_words_back(spark, tmp_path):
+    from tetrad.llm.queries import op5_stupid_backoff
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b c"), (4, "x b d")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (round(r.log_score, 6), r.backed_off) for r in op5_stupid_backoff(spark, str(tmp_path)).collect()}
+    bigrams, trigrams = ({r.doc_id: (round(r.log_score, 6), r.backed_off) for r in backoff.backoff_scores(docs, n).collect()} for n in (2, 3))
+    assert got == trigrams and got != bigrams
+
+
 def test_automaton_finds_what_edit_distance_finds():
     trie = toxicity.Trie(["idiot", "moron", "worthless", "scum"])
     for w, hit in [("idiot", (0, 0)), ("idoit", (0, 1)), ("idiott", (0, 1)), ("diot", (0, 1)), ("moran", (1, 1)), ("wortless", (2, 1)), ("scam", None), ("scum", (3, 0)), ("idt", None), ("worths", None)]:

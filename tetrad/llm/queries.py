@@ -57,7 +57,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .backoff import backoff_scores
 
-    return backoff_scores(read(spark, sf_dir, "documents"))
+    return backoff_scores(read(spark, sf_dir, "documents"), order=3)
 
 
 def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
