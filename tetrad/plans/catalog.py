@@ -67,6 +67,8 @@ sparql("optional_filter", "SELECT ?k ?price WHERE { ?c :c_custkey ?k OPTIONAL {
        "SELECT c_custkey AS k, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000")
 sparql("optional_then_join", "SELECT ?k ?o ?name WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus \"P\" } ?c :c_nationkey ?n . ?n :n_name ?name FILTER(?k <= 300) }",
        "SELECT c_custkey AS k, 'urn:t:orders/' || o_orderkey AS o, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_custkey <= 300")
+sparql("optional_then_join_whole", "SELECT ?k ?o ?name WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus \"P\" } ?c :c_nationkey ?n . ?n :n_name ?name }",
+       "SELECT c_custkey AS k, 'urn:t:orders/' || o_orderkey AS o, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 sparql("optional_outer_filter", "SELECT ?k ?s WHERE { ?c :c_custkey ?k ; :c_acctbal ?b OPTIONAL { ?s :s_suppkey ?m ; :s_acctbal ?t FILTER(?t > ?b && ?m = ?k) } }",
        "SELECT c_custkey AS k, 'urn:t:supplier/' || s_suppkey AS s FROM customer LEFT JOIN supplier ON s_acctbal > c_acctbal AND s_suppkey = c_custkey")
 sparql("union_branches", "SELECT ?name ?bal WHERE { { ?x :c_name ?name ; :c_acctbal ?bal FILTER(?bal < 0) } UNION { ?x :s_name ?name ; :s_acctbal ?bal FILTER(?bal < 0) } }",
@@ -132,6 +134,7 @@ sparql("text_match", 'SELECT ?d WHERE { ?x :documents.text ?t ; :documents.doc_i
 
 sparql("path_sequence_inverse", "SELECT ?r ?k WHERE { ?x :r_name ?r . ?x ^:n_regionkey/^:s_nationkey ?s . ?s :s_suppkey ?k }", "SELECT r_name AS r, s_suppkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
 sparql("path_alternative", "SELECT ?k ?n WHERE { ?x (:s_suppkey|:c_custkey) ?k ; (:s_nationkey|:c_nationkey)/:n_name ?n FILTER(?k < 40) }", "SELECT s_suppkey AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 40 UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 40")
+sparql("path_alternative_whole", "SELECT ?k ?n WHERE { ?x (:s_suppkey|:c_custkey) ?k ; (:s_nationkey|:c_nationkey)/:n_name ?n }", "SELECT s_suppkey AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 sparql("path_closure", "SELECT ?r WHERE { <urn:t:customer/1> (:c_nationkey|:n_regionkey)+ ?r }", "SELECT '<urn:t:nation/' || c_nationkey || '>' AS r FROM customer WHERE c_custkey = 1 UNION SELECT '<urn:t:region/' || n_regionkey || '>' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1")
 sparql("path_closure_to_end", "SELECT ?x WHERE { ?x (:s_nationkey|:n_regionkey)+ <urn:t:region/3> }", "SELECT '<urn:t:nation/' || n_nationkey || '>' AS x FROM nation WHERE n_regionkey = 3 UNION ALL SELECT '<urn:t:supplier/' || s_suppkey || '>' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3")
 sparql("path_zero_or_one", "SELECT ?y WHERE { <urn:t:nation/5> :n_regionkey? ?y }", "SELECT '<urn:t:nation/5>' AS y UNION ALL SELECT '<urn:t:region/' || n_regionkey || '>' FROM nation WHERE n_nationkey = 5")
