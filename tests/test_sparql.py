@@ -152,6 +152,12 @@ def test_service(spark, foaf):
     assert len(rows(foaf, "SELECT ?n WHERE { ?s foaf:name ?n SERVICE SILENT <http://none/> { ?s ex:x ?x } }")) == 3
 
 
+def test_service_asks_every_endpoint(spark):
+    s, n = Store(spark), 1200
+    s.services = {f"http://far/{i}": lambda text, names, i=i: [{"x": f'"far{i}"'}] for i in range(n)}
+    assert rows(s, "SELECT ?x WHERE { VALUES ?ep { " + " ".join(f"<{e}>" for e in s.services) + " } SERVICE ?ep { ?any ex:x ?x } }") == sorted([(f"far{i}",) for i in range(n)], key=str)
+
+
 @pytest.mark.parametrize("q", ["SELECT WHERE { ?s ?p ?o }", "SELECT ?s { ?s ?p }", "SELECT ?s ?s { ?s ?p ?o }", "SELECT ?s (COUNT(?o) AS ?n) { ?s ?p ?o } GROUP BY ?p", "SELECT * { ?s none:p ?o }", "SELECT * { ?s ?p ?o BIND(1 AS ?o) }"])
 def test_syntax_errors(q):
     with pytest.raises((SparqlSyntaxError, IndexError)):

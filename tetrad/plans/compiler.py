@@ -169,26 +169,24 @@ def service(e: A.Service, sol: Solutions, ctx: Context) -> Solutions:
     """SERVICE: one call of a registered endpoint; with a variable, one for each of the endpoints bound so far."""
     names = sorted(n for n in A.variables(e.group) if not n.startswith(" "))
 
-    def fetch(iri: str) -> Solutions:
+    def fetch(iri: str) -> list[dict]:
         try:
-            rows = ctx.services[iri](e.text, names)
+            return ctx.services[iri](e.text, names)
         except Exception:
             if not e.silent:
                 raise
-            rows = [{}]
+            return [{}]
+
+    def given(rows: list[dict], names: list[str]) -> Solutions:
         data = [tuple(r.get(n) for n in names) for r in rows]
         df = ctx.spark.createDataFrame(data, ", ".join(f"`?{n}` string" for n in names))
         return Solutions(df, {n: ("term", None) for n in names}, {n for i, n in enumerate(names) if any(r[i] is None for r in data)})
 
     if isinstance(e.endpoint, A.Term):
-        return fetch(e.endpoint.text[1:-1])
-    v = sol.value(e.endpoint.name)
-    ends = [r[0] for r in sol.df.select(T.lexical(v)).distinct().limit(1000).collect()]  # endpoints are few: each is a network call
-    parts = []
-    for iri in ends:
-        part = fetch(iri)
-        parts.append(part.extend(e.endpoint.name, Value(F.lit(f"<{iri}>"), "term"), maybe=False))
-    return reduce(union, parts)
+        return given(fetch(e.endpoint.text[1:-1]), names)
+    own = e.endpoint.name
+    ends = sol.df.select(T.lexical(sol.value(own))).distinct().toLocalIterator()  # every one, each a network call
+    return given([{**r, own: f"<{iri}>"} for (iri,) in ends for r in fetch(iri)], sorted({*names, own}))
 
 
 # basic graph patterns -----------------------------------------------------------------------------------------------------
