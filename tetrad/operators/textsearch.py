@@ -30,5 +30,5 @@ def search(postings: DataFrame, df: DataFrame, key: str, text: str, wanted: str)
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     if not grams:
         return df.where(matches(F.col(text), wanted))
-    hits = postings.where(F.col("trigram").isin(grams)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(key)
+    hits = postings.where(F.col("trigram").isin(grams)).groupBy(key).agg(F.count_distinct("trigram").alias("n")).where(F.col("n") >= len(grams)).select(key)
     return df.join(hits, key, "left_semi").where(matches(F.col(text), wanted))
