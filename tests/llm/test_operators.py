@@ -135,6 +135,14 @@ def test_fertility_by_library(edge):
     assert math.isclose(r.chars_per_token, r.word_chars / len(ids)) and math.isclose(r.token_entropy, -(p * np.log2(p)).sum()) and r.script == "LATIN"
 
 
+def test_texts_of_private_characters_fail(spark):
+    r = np.random.default_rng(9)
+    junk = " ".join("".join(map(chr, r.integers(0xE000, 0xF000, 5))) for _ in range(60))
+    numbers = " ".join(map(str, r.integers(0, 10**6, 60)))
+    got = {x.doc_id: x for x in fertility.rule_measures(spark.createDataFrame([(1, junk), (2, numbers)], "doc_id long, text string"), vocabulary("piece_bpe_32k.model")).collect()}
+    assert got[1].script == got[2].script == "NONE" and not got[1].base_failed and not got[1].kept and got[2].kept
+
+
 def test_shards(edge, empty):
     got = hilbert.hilbert_shards(edge, 5).collect()
     sizes = collections.Counter(r.shard for r in got)

@@ -30,7 +30,7 @@ BANDS = {
     "DEVANAGARI": ((0.4, 3.0), 0.80, 2.5),
     "HAN": ((0.3, 2.0), 0.90, 2.5),
     "OTHER": ((0.25, 6.0), 1.00, 2.0),
-    "NONE": ((0.25, 6.0), 1.00, 2.0),
+    "NONE": ((0.25, 6.0), 0.50, 2.0),
 }
 
 _SPACES = b" \t\n\x0b\x0c\r"
