@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -39,11 +41,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the session.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of its own.
+    The folder is ``spark.checkpoint.dir``; a session without one gets a folder of its own if it is local (tests), since on
+    a cluster executors could not read the driver's.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tetrad-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tetrad-ckpt-"))
     return df.checkpoint()
 
 
@@ -74,36 +80,68 @@ def ddl(columns: dict[str, pa.DataType]) -> str:
     return ", ".join(f"`{k}` {names[v]}" for k, v in columns.items())
 
 
+#: Bytes that a worker's memory of words may take, about; an entry counts its key and value and this much besides.
+MOST_BYTES, ENTRY = 64 << 20, 120
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker remembers for one operator. Workers serve all stages of a job: asking for another operator's memory
+    frees this one's first, so that a worker never holds two."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give what is free back to the system: arrays of a few MB otherwise stay with the allocator."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Cache(dict):
-    """A dict that fills itself in bulk and forgets everything beyond ``most`` entries.
+    """A dict that fills itself in bulk and forgets everything once it holds ``most`` bytes, about.
 
-    ``fill(keys) -> values`` is called once for all missing keys of a request, so that it can work in bulk.
+    ``fill(keys) -> values`` is called once for all missing keys of a request, so that it can work in bulk. ``size`` tells
+    the bytes of a value.
     """
 
-    def __init__(self, fill, most: int):
+    def __init__(self, fill, most: int = MOST_BYTES, size=len):
         super().__init__()
-        self.fill, self.most = fill, most
+        self.fill, self.most, self.size, self.bytes = fill, most, size, 0
 
     def want(self, keys) -> None:
         keys = list(dict.fromkeys(keys))  # callers pass generators, which can be read but once
         missing = [k for k in keys if k not in self]
-        if len(self) + len(missing) > self.most:
+        if not missing:
+            return
+        if self.bytes > self.most:
             self.clear()
-            missing = keys
-        if missing:
-            self.update(zip(missing, self.fill(missing)))
+            self.bytes, missing = 0, keys
+        values = self.fill(missing)
+        self.bytes += sum(map(len, missing)) + sum(map(self.size, values)) + ENTRY * len(missing)
+        self.update(zip(missing, values))
 
 
 class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for; ``new`` collects the unseen ones."""
+    """Numbers its keys in the order in which they are first asked for; ``new`` collects the unseen ones, ``bytes`` is about
+    what all take."""
 
     def __init__(self):
         super().__init__()
         self.new: list = []
+        self.bytes = 0
 
     def __missing__(self, key) -> int:
         n = self[key] = len(self)
         self.new.append(key)
+        self.bytes += len(key) + ENTRY
         return n
 
     def of(self, keys: list) -> np.ndarray:

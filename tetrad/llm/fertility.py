@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Numbers, ddl, record, ship, split_batch, texts
+from .common import MOST_BYTES, Numbers, ddl, held, record, ship, split_batch, texts
 
-MOST_WORDS = 350_000
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "HAN", "OTHER", "NONE")
 
 #: (least, most) characters per token; most share of byte tokens; least entropy of tokens in bits, or half of what the
@@ -64,9 +63,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Token ids, byte tokens and script of each distinct word; a word's number stands for it in arrays."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, most: int = MOST_BYTES):
         import sentencepiece
 
+        self.most = most
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.forget()
@@ -79,7 +79,7 @@ class Vocabulary:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words, all of which tokens, first and script then know."""
-        if len(self.number) > MOST_WORDS:
+        if self.number.bytes + 4 * len(self.tokens) > self.most:
             self.forget()
         at = self.number.of(words)
         if new := self.number.taken():
@@ -156,14 +156,8 @@ def measure(texts_: list[str], vocabulary: Vocabulary, bands: dict) -> dict[str,
     }
 
 
-_KNOWN: dict = {}
-
-
 def known(model: bytes) -> Vocabulary:
-    key = hashlib.sha256(model).digest()
-    if key not in _KNOWN:
-        _KNOWN[key] = Vocabulary(model)
-    return _KNOWN[key]
+    return held(("fertility", hashlib.sha256(model).digest()), lambda: Vocabulary(model))
 
 
 def rule_measures(docs: DataFrame, vocabulary_path: str, bands: dict | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Numbers, block_count, ddl, ship, texts
+from .common import BLOCK_BYTES, MOST_BYTES, Numbers, block_count, ddl, held, ship, texts
 from .fertility import mixed
 
 SAMPLES = 64
@@ -31,13 +31,13 @@ def word_hash(word: bytes) -> int:
 
 
 class Words:
-    """Hashes of words by their numbers; begun afresh beyond ``most`` words."""
+    """Hashes of words by their numbers; begun afresh once they hold ``most`` bytes."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = MOST_BYTES):
         self.most, self.number, self.hash = most, Numbers(), np.zeros(0, np.uint64)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.most:
+        if self.number.bytes > self.most:
             self.__init__(self.most)
         at = self.number.of(words)
         if new := self.number.taken():
@@ -134,9 +134,6 @@ def as_string(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
-_WORDS = Words()
-
-
 def edit(text: str, after: str) -> str:
     """The text with its last quarter replaced by as much of the next text's start."""
     n = len(text) // 4
@@ -195,7 +192,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
                 some = [*some, halo or own[0]]
             bodies = [t for _, t, _ in some]
             edited = [edit(t, u) for t, u in zip(bodies, bodies[1:])]
-            s = signatures(batch_terms(bodies, _WORDS), samples)
+            s = signatures(batch_terms(bodies, held("word hashes", Words)), samples)
             for i, t in enumerate(edited):
                 x, y, z = s[i], s[len(bodies) + i], s[i + 1]
                 got.append((some[i][0], len(bodies[i]), hashlib.sha256(t.encode()).hexdigest(), as_string(x), as_string(y), likeness(x, y), likeness(x, z)))

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbers, checkpointed, ship, split_batch, texts
+from .common import checkpointed, held, ship, split_batch, texts
 from .components import components
 from .fertility import mixed
-from .fingerprint import word_hash
+from .fingerprint import Words
 
 WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair of similarity 0.75 is missed by all bands once in 190,000 times, one of 0.8 once in 20 million.
@@ -38,45 +38,31 @@ PARTNERS, MOST_BROADCAST = 256, 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes:
-    """64-bit hashes of words by number, and shingle sets of texts."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.number, self.hash = most, Numbers(), np.zeros(0, np.uint64)
-
-    def sets(self, bodies: list[str], n: int = WORDS) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of each text: n words, or all of fewer."""
-        if len(self.number) > self.most:
-            self.__init__(self.most)
-        cut = [t.encode().lower().split() for t in bodies]
-        sizes = [len(c) for c in cut]
-        at = self.number.of([w for c in cut for w in c])
-        if new := self.number.taken():
-            self.hash = np.concatenate([self.hash, np.fromiter(map(word_hash, new), np.uint64, len(new))])
-        h = self.hash[at]
-        m = max(0, len(h) - n + 1)
-        roll = np.zeros(m, np.uint64)
-        for j in range(n):
-            roll = roll * _M + h[j : j + m]
-        roll = mixed(roll)
-        out, a = [], 0
-        for k in sizes:
-            if k >= n:
-                s = np.sort(roll[a : a + k - n + 1])
-                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-            elif k:
-                x = np.uint64(k)
-                with np.errstate(over="ignore"):
-                    for y in h[a : a + k]:
-                        x = x * _M + y
-                out.append(mixed(np.array([x], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-            a += k
-        return out
-
-
-_HASHES = _Hashes()
+def shingle_sets(bodies: list[str], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: n words, or all of fewer."""
+    cut = [t.encode().lower().split() for t in bodies]
+    h = held("word hashes", Words).hashes([w for c in cut for w in c])
+    m = max(0, len(h) - n + 1)
+    roll = np.zeros(m, np.uint64)
+    for j in range(n):
+        roll = roll * _M + h[j : j + m]
+    roll = mixed(roll)
+    out, a = [], 0
+    for k in map(len, cut):
+        if k >= n:
+            s = np.sort(roll[a : a + k - n + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif k:
+            x = np.uint64(k)
+            with np.errstate(over="ignore"):
+                for y in h[a : a + k]:
+                    x = x * _M + y
+            out.append(mixed(np.array([x], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        a += k
+    return out
+
 
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _M)
 _A, _B = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
@@ -137,7 +123,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in split_batch(whole):
-                sets = _HASHES.sets(b.column("text").to_pylist())
+                sets = shingle_sets(b.column("text").to_pylist())
                 full = [s for s in sets if len(s)]
                 low = minima(full)
                 keys, bits = iter(band_keys(low)), iter(packed(low))
@@ -197,7 +183,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
             for b in split_batch(whole):
                 texts_: dict[str, int] = {}
                 place = [texts_.setdefault(t, len(texts_)) for t in b.column("text").to_pylist()]
-                sets = _HASHES.sets(list(texts_))
+                sets = shingle_sets(list(texts_))
                 own = _class_ids(sets)
                 some = pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array([sets[i].tobytes() for i in place], pa.binary())], names=[*columns, "set"])
                 yield some.filter(pa.array(own[place] == np.asarray(b.column("cid"))))

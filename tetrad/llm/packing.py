@@ -17,10 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Cache, ddl, record, ship, split_batch, texts
-
-#: Pieces between white space that a worker remembers; about 200 bytes each.
-MOST_WORDS = 400_000
+from .common import MOST_BYTES, Cache, ddl, held, record, ship, split_batch, texts
 
 OUT = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "bucket": pa.int32()}
 
@@ -40,7 +37,7 @@ class WordCoder:
     but not Unicode counts as white space, go to ``tokenizers`` itself.
     """
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, most: int = MOST_BYTES):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
@@ -61,8 +58,17 @@ class WordCoder:
             if t not in special:
                 self.id_of[ranks[ended(t)]] = i.to_bytes(4, "little")
         self.piece = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words = Cache(lambda words: [self._word(w) for w in words], MOST_WORDS)
-        self.chunks: dict[str, bytes] = {}
+        self.words = Cache(lambda words: [self._word(w) for w in words], most)
+        self.chunks = Cache(self._chunks, most)
+
+    def _chunks(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces between white space."""
+        out = []
+        for a in range(0, len(pieces), 50_000):
+            words = [[p] if p.isalpha() else self.find(p) for p in pieces[a : a + 50_000]]
+            self.words.want(w for ws in words for w in ws)
+            out += [b"".join([self.words[w] for w in ws]) for ws in words]
+        return out
 
     def _word(self, word: str) -> bytes:
         if "\0" in word:
@@ -73,26 +79,13 @@ class WordCoder:
         """Ids of each text, little-endian uint32."""
         odd = [not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         cut = [[] if o else (t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower().split() for t, o in zip(texts, odd)]
-        found = [list(map(self.chunks.get, c)) for c in cut]
-        new = list({p: None for c, f in zip(cut, found) if None in f for p, x in zip(c, f) if x is None})
-        if len(new) + len(self.chunks) > MOST_WORDS:
-            self.chunks.clear()
-        for a in range(0, len(new), 50_000):
-            words = [[p] if p.isalpha() else self.find(p) for p in new[a : a + 50_000]]
-            self.words.want(w for ws in words for w in ws)
-            for p, ws in zip(new[a:], words):
-                self.chunks[p] = b"".join([self.words[w] for w in ws])
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join([self.chunks[p] if x is None else x for p, x in zip(c, f)] if None in f else f) for t, o, c, f in zip(texts, odd, cut, found)]
-
-
-_CODERS: dict = {}
+        self.chunks.want(p for c in cut for p in c)
+        at = self.chunks.__getitem__
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(at, c)) for t, o, c in zip(texts, odd, cut)]
 
 
 def coder(vocabulary: bytes) -> WordCoder:
-    key = hashlib.sha256(vocabulary).digest()
-    if key not in _CODERS:
-        _CODERS[key] = WordCoder(vocabulary)
-    return _CODERS[key]
+    return held(("packing", hashlib.sha256(vocabulary).digest()), lambda: WordCoder(vocabulary))
 
 
 def decompose(n: int, most: int) -> list[int]:

@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ddl, record, ship, split_batch, texts
+from .common import Cache, checkpointed, ddl, held, record, ship, split_batch, texts
 
-#: Words that a worker remembers.
-MOST_WORDS = 400_000
 #: The lexicon's size, and about how many labelled documents are learned from at most (by a hash of their id).
 MOST_TERMS, MOST_LABELLED = 4_000, 40_000
 
@@ -117,7 +115,6 @@ class Model:
         self.weights = weights
         self.misspelled = [0.6 * w for w in weights]
         self.coefficients = np.array([-6.0, 1.2, 0.4, 0.3, 0.5])
-        self.memory: dict[str, int] = {}
 
     def __getstate__(self):
         return self.trie.terms, self.weights, self.misspelled, self.coefficients
@@ -134,15 +131,9 @@ class Model:
         return 0
 
     def codes(self, chunks: list[str]) -> list[int]:
-        found = list(map(self.memory.get, chunks))
-        if None in found:
-            if len(self.memory) > MOST_WORDS:
-                self.memory.clear()
-            for c, x in zip(chunks, found):
-                if x is None and c not in self.memory:
-                    self.memory[c] = self.code(c)
-            found = [self.memory[c] if x is None else x for c, x in zip(chunks, found)]
-        return found
+        memory = held(("toxicity", self), lambda: Cache(lambda words: list(map(self.code, words)), size=lambda code: 0))
+        memory.want(chunks)
+        return list(map(memory.__getitem__, chunks))
 
     def features(self, text: str) -> tuple[list[float], int, int]:
         """(features, hits, quoted hits). A hit counts less in quotation or report, more beside other hits or an address."""
