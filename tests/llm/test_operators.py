@@ -75,28 +75,57 @@ def test_packing_round_trip(edge, empty):
     assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
-def test_workers_that_forget_words_code_as_before(monkeypatch):
+def test_workers_that_forget_words_code_as_before():
+    import regex
+    import sentencepiece
     import tiktoken
     from tokenizers import Tokenizer
 
-    from tetrad.llm.common import Cache
+    from tetrad.llm.common import Cache, held
 
     cache = Cache(lambda keys: [k * 2 for k in keys], 3)
-    for keys in ([1, 2], [2, 3, 4], [5, 6, 7, 8, 8]):
+    for keys in ("ab", "bcd", "efghh"):
         cache.want(k for k in keys)
         assert all(cache[k] == 2 * k for k in keys)
-    monkeypatch.setattr(bpe, "MOST_WORDS", 5)
-    monkeypatch.setattr(packing, "MOST_WORDS", 5)
     lots = [[sentence(30, 1), BASE], [BASE + " tail", "it's 123 a-b", ""], [sentence(9, 2)]]
     ranks = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f, open(vocabulary("word_bpe_49k.json"), "rb") as g:
-        monkeypatch.setattr(bpe, "_CODERS", {})
-        pieces, words = bpe._pieces(f.read(), P.PATTERN), packing.WordCoder(g.read())
+    pieces = bpe.Pieces(bpe.Coder(ranks), regex.compile(P.PATTERN).findall, True, 3)
     whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f, open(vocabulary("piece_bpe_32k.model"), "rb") as g:
+        words, model = packing.WordCoder(f.read(), 3), g.read()
+    few, many, hashes, all_hashes = fertility.Vocabulary(model, 3), fertility.Vocabulary(model), fingerprint.Words(3), fingerprint.Words()
     for lot in lots:
-        assert list(pieces.code(lot)) == [(np.array(enc.encode_ordinary(t), "<u4").tobytes(), t.encode()) for t in lot]
+        assert pieces.code(lot) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in lot]
         assert words.code(lot) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in lot]
+        x, y = (fertility.measure(lot, v, fertility.BANDS) for v in (few, many))
+        assert all(list(x[k]) == list(y[k]) for k in x)
+        split = [w for t in lot for w in fingerprint.split(t)]
+        assert hashes.hashes(split).tolist() == all_hashes.hashes(split).tolist()
+    first = held("one", list)
+    assert held("one", list) is first and held("two", dict) == {} and held("one", list) is not first
+
+
+def test_words_on_both_sides_of_the_length_from_which_a_heap_contracts():
+    import tiktoken
+
+    ranks = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    core = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("aeinrst"), n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG)] + ["a" * (bpe.LONG - 2), "a" * (bpe.LONG + 2)]
+    coder = bpe.Coder(ranks)
+    assert coder.words(words) == [np.array(core.encode_single_piece(w.encode()), "<u4").tobytes() for w in words]
+    assert coder.words(words) == [coder._long(w.encode()) for w in words]
+
+
+def test_decoding_puts_lots_together(monkeypatch):
+    ranks = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    coder = bpe.Coder(ranks)
+    bodies = [bytes(range(256)) * 3, b"", b"\0\0", "naïve ☃".encode()]
+    coded = [np.array([ranks[bytes([b])] for b in x], "<u4").tobytes() for x in bodies]
+    assert coder.decode(coded) == bodies
+    monkeypatch.setattr(bpe, "IDS", 7)
+    assert coder.decode(coded) == bodies
 
 
 @given(st.integers(1, 100_000))

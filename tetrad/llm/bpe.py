@@ -2,8 +2,8 @@
 
 Every partition hands its distinct pre-tokens to an in-process DuckDB. There a recursive query holds one row for each
 token position, joins neighbouring rows to the merge table, contracts in each word the leftmost pair of least rank and
-repeats until no pair joins. Decoding joins ids to token bytes and concatenates them by an ordered aggregation.
-A document is then the concatenation of its words' ids, since merges never cross pre-tokens.
+repeats until no pair joins. A document is then the concatenation of its words' ids, since merges never cross pre-tokens.
+Decoding joins the ids of each document to the tokens' bytes and concatenates them by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Cache, ddl, record, ship, split_batch, texts
+from .common import Cache, ddl, held, record, ship, split_batch, texts
 
-#: Pre-tokens, and pieces between spaces, that a worker remembers before it starts afresh; about 250 bytes each.
-MOST_WORDS = 700_000
-#: Words in one recursive query.
-BULK = 40_000
+#: Bytes of pre-tokens, and of pieces between spaces, that a worker remembers before it starts afresh.
+MOST_BYTES = 128 << 20
+#: Words in one recursive query, and ids in one decoding query.
+BULK, IDS = 40_000, 1 << 20
+#: Bytes from which a word is contracted with a heap: the recursion keeps all steps, so its rows grow with the square.
+LONG = 2000
 
 OUT = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
@@ -43,9 +45,8 @@ WITH RECURSIVE s(step, k, id) AS (
 )
 SELECT s.k, s.id FROM s SEMI JOIN (SELECT k // 4096 AS w, max(step) AS step FROM s GROUP BY 1) last ON s.k // 4096 = last.w AND s.step = last.step
 """
-_DECODE = """
-SELECT w, list(bytes ORDER BY k) FROM (SELECT k // 4096 AS w, k, bytes FROM coded JOIN token USING (id)) GROUP BY w ORDER BY w
-"""
+# A token's bytes stand as the characters of the same numbers, since only text is concatenated.
+_DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY k) FROM coded JOIN token USING (id) GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,51 +66,56 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         rows = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._put("merges", {"pair": [x[0] for x in rows], "rank": [x[1] for x in rows]})
-        self._put("token", {"id": list(ranks.values())}, bytes=pa.array(list(ranks), pa.binary()))
+        self._put("token", {"id": list(ranks.values())}, bytes=pa.array([t.decode("latin-1") for t in ranks], pa.string()))
 
     def _put(self, name: str, columns: dict, **more: pa.Array) -> None:
         self.db.register("given", pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()} | more))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded bytes) of each word."""
-        out: list = [None] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
-                out[i] = (r.to_bytes(4, "little"), w)
-            else:
-                rest.append(i)
-        rest.sort(key=lambda i: len(words[i]))  # words of like length end in like many steps
-        for a in range(0, len(rest), BULK):
-            some = rest[a : a + BULK]
-            while some:  # very long words go in smaller lots
-                n, size = 0, 0
-                while n < len(some) and (n == 0 or size + len(words[some[n]]) ** 2 < 8_000_000):
-                    size += len(words[some[n]]) ** 2
-                    n += 1
-                for i, got in zip(some[:n], self._bulk([words[i] for i in some[:n]])):
-                    out[i] = got
-                some = some[n:]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids, as little-endian uint32, of each word. A word that is a token is that token, as in the library."""
+        raw = [w.encode() for w in words]
+        out: list = [None if (r := self.ranks.get(w)) is None else r.to_bytes(4, "little") for w in raw]
+        rest = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(raw[i]))  # words of like length end in like many steps
+        while rest and len(raw[rest[-1]]) > LONG:
+            i = rest.pop()
+            out[i] = self._long(raw[i])
+        a = 0
+        while a < len(rest):  # very long words go in smaller lots
+            b, size = a, 0
+            while b < len(rest) and b - a < BULK and (b == a or size + len(raw[rest[b]]) ** 2 < 8_000_000):
+                size += len(raw[rest[b]]) ** 2
+                b += 1
+            for i, got in zip(rest[a:b], self._bulk([raw[i] for i in rest[a:b]])):
+                out[i] = got
+            a = b
         return out
 
-    def _bulk(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        if len(words[-1]) > 2000:
-            return [self._long(w) for w in words]
+    def _bulk(self, words: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.arange(len(words)) * 4096 - (np.cumsum(sizes) - sizes)
         flat = np.frombuffer(b"".join(words), np.uint8)
         self._put("start", {"k": np.arange(len(flat)) + np.repeat(first, sizes), "id": self.single[flat]})
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE coded AS {_CONTRACT}")
-        got = self.db.execute("SELECT k, id FROM coded ORDER BY k").fetchnumpy()
+        got = self.db.execute(f"SELECT k, id FROM ({_CONTRACT}) ORDER BY k").fetchnumpy()
         ids = np.asarray(got["id"]).astype("<u4").tobytes()
         cut = np.searchsorted(np.asarray(got["k"]), np.arange(len(words) + 1) * 4096) * 4
-        decoded = (b"".join(x[1]) for x in self.db.execute(_DECODE).fetchall())
-        return [(ids[cut[i] : cut[i + 1]], w if (t := next(decoded)) == w else t) for i, w in enumerate(words)]
+        return [ids[cut[i] : cut[i + 1]] for i in range(len(words))]
+
+    def decode(self, coded: list[bytes]) -> list[bytes]:
+        """The bytes of each sequence of ids. A lot of ids may end within a sequence, which then is put together of parts."""
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, doc = np.frombuffer(b"".join(coded), "<u4").astype(np.int64), np.repeat(np.arange(len(coded)), sizes)
+        out = [b""] * len(coded)
+        for a in range(0, len(ids), IDS):
+            some = slice(a, a + IDS)
+            self._put("coded", {"doc": doc[some], "k": np.arange(len(ids[some])), "id": ids[some]})
+            for i, text in self.db.execute(_DECODE).fetchall():
+                out[i] += text.encode("latin-1")
+        return out
 
-    def _long(self, word: bytes) -> tuple[bytes, bytes]:
-        """One very long word: the same contraction with a heap, since a row state of its length squared would not fit."""
+    def _long(self, word: bytes) -> bytes:
+        """One very long word: the same contraction, leftmost pair of least rank first, with a heap."""
         import heapq
 
         ranks, ids = self.ranks, [self.ranks[bytes([b])] for b in word]
@@ -131,78 +137,58 @@ class Coder:
                 if k >= 0 and (n := after[k]) < len(part) and (q := ranks.get(part[k] + part[n])) is not None:
                     heapq.heappush(heap, (q, k, part[k], part[n]))
         keep = [i for i, x in enumerate(part) if x is not None]
-        return np.array([ids[i] for i in keep], "<u4").tobytes(), b"".join(part[i] for i in keep)
-
-
-_CODERS: dict = {}
+        return np.array([ids[i] for i in keep], "<u4").tobytes()
 
 
 class Pieces:
-    """Ids of what stands between spaces, with the space before it.
+    """A worker's memory: ids of words and of what stands between spaces, with the space before it.
 
-    Every distinct word is decoded from its ids by the ordered aggregation and held against its bytes; only words that
-    decode to other bytes are kept, in ``odd``. A text without such words decodes to the bytes of its pieces in order.
+    spaced: whether the pattern ends a piece before any space that stands neither between white space nor at the end, so
+    that a text can be cut there and its parts remembered.
     """
 
-    def __init__(self, words: Cache, find):
-        self.words, self.find = words, find
-        self.ids: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
-
-    def _coded(self, cut: list[bytes]) -> tuple[bytes, bytes]:
-        both = [self.words[x] for x in cut]
-        return both[0] if len(both) == 1 else (b"".join([x[0] for x in both]), b"".join([x[1] for x in both]))
-
-    def learn(self, missing: list[str]) -> None:
-        if len(missing) + len(self.ids) > MOST_WORDS:
-            self.ids.clear()
-            self.odd.clear()
-        for a in range(0, len(missing), 50_000):
-            cut = [[x.encode() for x in self.find(" " + p)] for p in missing[a : a + 50_000]]
-            self.words.want(x for c in cut for x in c)
-            for p, c in zip(missing[a:], cut):
-                self.ids[p], decoded = self._coded(c)
-                if decoded != b" " + p.encode():
-                    self.odd[p] = decoded
-
-    def code(self, texts: list[str]):
-        """(ids, decoded) of each text. Cut at spaces, except where a space lies within or ends white space."""
-        knotty = [bool(_KNOTTY.search(t)) for t in texts]
-        cut = [[] if k else t.split(" ") for t, k in zip(texts, knotty)]
-        firsts = [list(map(str.encode, self.find(t if k else c[0]))) for t, k, c in zip(texts, knotty, cut)]
-        found = [list(map(self.ids.get, c[1:])) for c in cut]
-        new = {p: None for c, f in zip(cut, found) if None in f for p, x in zip(c[1:], f) if x is None}
-        self.learn(list(new))
-        self.words.want(x for f in firsts for x in f)
-        for t, c, f, first in zip(texts, cut, found, firsts):
-            if None in f:
-                f = [self.ids[p] if x is None else x for p, x in zip(c[1:], f)]
-            ids, decoded = self._coded(first)
-            if self.odd and any(map(self.odd.__contains__, c[1:])):
-                decoded += b"".join([self.odd.get(p, b" " + p.encode()) for p in c[1:]])
-            elif c:
-                decoded += t[len(c[0]) :].encode()
-            yield ids + b"".join(f), decoded
-
-
-def _pieces(vocabulary: bytes, pattern: str) -> Pieces:
+    def __init__(self, coder: Coder, find, spaced: bool, most: int = MOST_BYTES):
+        self.coder, self.find, self.spaced = coder, find, spaced
+        self.words, self.parts = Cache(coder.words, most), Cache(self._parts, most)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(parts), 50_000):
+            cut = [self.find(" " + p) for p in parts[a : a + 50_000]]
+            self.words.want(w for c in cut for w in c)
+            out += [b"".join([self.words[w] for w in c]) for c in cut]
+        return out
+
+    def code(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian uint32."""
+        cut = [t.split(" ") if self.spaced and not _KNOTTY.search(t) else [t] for t in texts]
+        first = [self.find(c[0]) for c in cut]
+        self.parts.want(p for c in cut for p in c[1:])
+        self.words.want(w for f in first for w in f)
+        word, part = self.words.__getitem__, self.parts.__getitem__
+        return [b"".join(map(word, f)) + b"".join(map(part, c[1:])) for f, c in zip(first, cut)]
+
+
+def _pieces(vocabulary: bytes, pattern: str, spaced: bool) -> Pieces:
     """The worker's memory for a vocabulary."""
-    key = (hashlib.sha256(vocabulary).digest(), pattern)
-    if key not in _CODERS:
+
+    def make() -> Pieces:
         import regex
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, vocabulary.split(b"\n")))}
-        _CODERS[key] = Pieces(Cache(Coder(ranks).words, MOST_WORDS), regex.compile(pattern).findall)
-    return _CODERS[key]
+        return Pieces(Coder(ranks), regex.compile(pattern).findall, spaced)
+
+    return held(("bpe", hashlib.sha256(vocabulary).digest(), pattern, spaced), make)
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, keep: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, keep: bool = False, spaced: bool = False) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of ``docs``; with ``keep`` also ids (binary,
     little-endian uint32) and decoded (binary). A null text is empty: no tokens, hashes of nothing. Rows with equal ids
     or texts each give a row; a null doc_id stays null; other columns are ignored. A word of any length is encoded whole.
-    No shuffle: one pass over the input's partitions, with at most MOST_WORDS remembered words in a worker.
+    ``spaced`` may be set for patterns that begin a piece at every single space (see Pieces), and saves time.
+    No shuffle: one pass over the input's partitions, with MOST_BYTES of remembered words in a worker.
     """
     ship(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
@@ -210,12 +196,13 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, keep:
     out = OUT | ({"ids": pa.binary(), "decoded": pa.binary()} if keep else {})
 
     def run(batches):
-        pieces = _pieces(vocabulary.value, pattern)
+        pieces = _pieces(vocabulary.value, pattern, spaced)
         for whole in batches:
             for batch in split_batch(whole):
                 rows: dict = {k: [] for k in out}
                 rows["doc_id"] = batch.column("doc_id")
-                for ids, decoded in pieces.code(batch.column("text").to_pylist()):
+                coded = pieces.code(batch.column("text").to_pylist())
+                for ids, decoded in zip(coded, pieces.coder.decode(coded)):
                     rows["n_tokens"].append(len(ids) // 4)
                     rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())

@@ -51,7 +51,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encode_documents
 
-    return encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
+    return encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN, spaced=True)
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
