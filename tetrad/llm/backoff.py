@@ -4,7 +4,12 @@ Blocks of documents give tables of their distinct n-grams with counts, partition
 summed over all blocks; each block's n-grams are joined to the sums, exploded over its texts and summed per document. Rows
 of these tables travel packed: one Spark row holds what a block and a part of the hash space have in common, as arrays.
 
-A document's own occurrences are taken off the counts that score it, so that no text is likely for having been counted.
+A document's own occurrences are taken off the counts that score it, so that no text is likely for having been counted. So
+n-grams of one document alone need no counts: blocks first tell the leading bits of their n-grams' hashes, and count only
+those that another document may have. What shares the leading bits by chance is counted like the rest.
+
+Words and n-grams are 64-bit hashes; two n-grams of one hash would be counted as one, which n distinct n-grams do about
+n * n / 2**65 times in all.
 """
 
 from __future__ import annotations
@@ -13,30 +18,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, Numbers, block_count, ddl, in_blocks, ship, texts
+from .common import BLOCK_BYTES, block_count, ddl, held, in_blocks, release, ship, texts
 from .fertility import mixed
-from .fingerprint import word_hash
+from .fingerprint import Words, split
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Text bytes whose n-grams one part of the hash space holds on average.
 PART = 32 << 20
 
 OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64(), "backed_off": pa.int64()}
 
 _G = np.uint64(0x9E3779B97F4A7C15)
-_ALL = np.uint64(1)  # the key under which all words are counted
 
 
-def ngrams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+def ngrams(words: np.ndarray, sizes: np.ndarray, order: int):
     """Keys of the n-grams that end at each word, for n from 1 to ``order``; 0 where the document has too few words before."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, key = [], np.zeros(len(words), np.uint64)
+    place, key = _ramp(sizes), np.zeros(len(words), np.uint64)
     for n in range(1, order + 1):
-        earlier = np.zeros(len(words), np.uint64)
-        earlier[n - 1 :] = words[: len(words) - n + 1]
-        key = key + earlier * np.uint64(pow(int(_G), 2 * n - 1, 1 << 64))
-        out.append(np.where(place >= n - 1, mixed(mixed(key) + np.uint64(n)) | np.uint64(2), np.uint64(0)))
-    return out
+        key[n - 1 :] += words[: max(0, len(words) - n + 1)] * np.uint64(pow(int(_G), 2 * n - 1, 1 << 64))
+        yield np.where(place >= n - 1, mixed(mixed(key) + np.uint64(n)) | np.uint64(2), np.uint64(0))
+
+
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def in_order(x: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The stable order of values below 2**bits: they are sorted with their places in the low bits, which is faster."""
+    k = np.uint64(max(1, (len(x) - 1).bit_length()))
+    place, low = np.arange(len(x), dtype=np.uint64), (np.uint64(1) << k) - np.uint64(1)
+    if bits + int(k) <= 64:
+        return (np.sort(x << k | place) & low).astype(np.int64)
+    order = (np.sort(x >> k << k | place) & low).astype(np.int64)
+    y = x[order]  # in order but for values that differ in the low bits alone
+    return np.argsort(x, kind="stable") if (y[1:] < y[:-1]).any() else order
 
 
 def squeezed(keys: np.ndarray) -> bytes:
@@ -48,27 +64,60 @@ def expanded(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-class _Block:
-    def __init__(self, table: pa.Table, order: int):
-        self.words, self.sizes = _words_of(table.column("text").to_pylist())
-        self.keys = ngrams(self.words, self.sizes, order)
-        self.known, inverse, self.count = np.unique(np.concatenate([np.full(len(self.words), _ALL), *self.keys]), return_inverse=True, return_counts=True)
-        self.place = inverse.reshape(-1, len(self.words)) if len(self.words) else inverse.reshape(order + 1, 0)
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Grams:
+    """The n-grams of one order in a block: distinct keys in order with counts, and whether several documents have them;
+    for each word the place of its n-gram among the keys (-1 without one) and how often its document has it."""
+
+    def __init__(self, keys: np.ndarray, of: np.ndarray):
+        at = np.flatnonzero(keys)
+        order = at[in_order(keys[at])]
+        k, docs = keys[order], of[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        new_doc = new.copy()
+        new_doc[1:] |= docs[1:] != docs[:-1]
+        group, run = np.cumsum(new) - 1, np.cumsum(new_doc) - 1
+        self.known, self.count = k[new], np.bincount(group)
+        self.many = np.bincount(group[new_doc]) > 1
+        self.place, self.own = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        self.place[order], self.own[order] = group, np.bincount(run)[run] if len(run) else run
+
+    def cuts(self, parts: int) -> np.ndarray:
+        """Where the keys of each part begin; parts are equal ranges of the hash space."""
+        return np.searchsorted((self.known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
-    def parts(self, n: int):
-        """(part, places of its keys among the known ones)."""
-        part = (self.known % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(n + 1))
-        for p in np.flatnonzero(np.diff(cut)):
-            yield int(p), order[cut[p] : cut[p + 1]]
 
+def _block(table: pa.Table, order: int):
+    """(sizes of the texts, document of each word, an iterator of Grams by order)."""
+    cut = [split(t) for t in table.column("text").to_pylist()]
+    sizes = np.array([len(c) for c in cut], np.int64)
+    words = held("word hashes", Words).hashes([w for c in cut for w in c])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return sizes, of, (Grams(keys, of) for keys in ngrams(words, sizes, order))
 
-def _words_of(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    cut = [t.encode().lower().split() for t in bodies]
-    number, sizes = Numbers(), np.array([len(c) for c in cut], np.int64)
-    at = number.of([w for c in cut for w in c])
-    return np.fromiter(map(word_hash, number.new), np.uint64, len(number.new))[at] if len(at) else np.zeros(0, np.uint64), sizes
+
+def _by_part(rows: pa.Table, *columns: str) -> dict[int, tuple]:
+    return dict(zip(rows.column("part").to_pylist(), zip(*[rows.column(c).to_pylist() for c in columns])))
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(x.split() for x in schema.split(", "))})
+
+
+_HEARD = "part int, block int, sizes binary, keys binary, many binary"
+_FLAGS = "block int, part int, flags binary"
+_COUNTS = "part int, block int, sizes binary, keys binary, counts binary, words long"
+_TOTALS = "block int, part int, totals binary, words long"
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -85,52 +134,133 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     blocks = block_count(docs, block_bytes)
     parts = max(8, -(-blocks * block_bytes // PART))
     blocked = in_blocks(docs, blocks).select("block", "doc_id", "text")
+    # leading bits of a hash: by chance an n-gram shares them with another one in about one of 64 cases, at any size
+    bits = min(64, (blocks * block_bytes).bit_length() + 6)
+    shift = np.uint64(64 - bits)
 
-    def tables(table: pa.Table) -> pa.Table:
-        block, b = _Block(table, order), table.column("block")[0].as_py()
-        rows = [(p, b, squeezed(block.known[at]), block.count[at].astype(np.uint32).tobytes()) for p, at in block.parts(parts)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
+    def heard(table: pa.Table) -> pa.Table:
+        """Leading bits of the block's n-grams by part."""
+        b, rows = table.column("block")[0].as_py(), [[[], [], []] for _ in range(parts)]
+        for g in _block(table, order)[2]:
+            cut, lead = g.cuts(parts), g.known >> shift
+            for row, x, y in zip(rows, cut, cut[1:]):
+                row[0].append(y - x)
+                row[1].append(squeezed(lead[x:y]))
+                row[2].append(g.many[x:y])
+        release()
+        return _table(_HEARD, [(p, b, np.array(n, np.uint32).tobytes(), b"".join(k), np.packbits(np.concatenate(m)).tobytes()) for p, (n, k, m) in enumerate(rows) if sum(n)])
+
+    def split_orders(rows: pa.Table, width: int, column: str):
+        """For each order the arrays of the rows, from a column of as many bytes for each key."""
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) * width for x in rows.column("sizes").to_pylist()]
+        data, at = rows.column(column).to_pylist(), [0] * len(sizes)
+        for n in range(order):
+            got = [d[a : a + s[n]] for d, a, s in zip(data, at, sizes)]
+            at = [a + s[n] for a, s in zip(at, sizes)]
+            yield got
+
+    def flags_of(table: pa.Table) -> pa.Table:
+        """For each block which of its n-grams another document may have."""
+        p = table.column("part")[0].as_py()
+        base = np.uint64(min(((p << 32) // parts) << 32, 2**64 - 1)) >> shift
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("sizes").to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=s.sum()) for x, s in zip(table.column("many").to_pylist(), sizes)]
+        out = [[] for _ in sizes]
+        for n, told in enumerate(split_orders(table, 8, "keys")):
+            lead = np.concatenate([expanded(x) for x in told]) - base
+            o = in_order(lead, int(lead.max()).bit_length() if len(lead) else 1)
+            new = np.ones(len(o), bool)
+            new[1:] = lead[o][1:] != lead[o][:-1]
+            group = np.cumsum(new) - 1
+            flag = np.empty(len(o), bool)
+            flag[o] = (np.bincount(group) > 1)[group] if len(o) else False
+            for i, (f, s, m) in enumerate(zip(np.split(flag, np.cumsum([s[n] for s in sizes])[:-1]), sizes, many)):
+                a = int(s[:n].sum())
+                out[i].append(f | m[a : a + s[n]].astype(bool))
+        release()
+        return _table(_FLAGS, [(b, p, np.packbits(np.concatenate(x)).tobytes()) for b, x in zip(table.column("block").to_pylist(), out)])
+
+    def wanted(flags: dict, cuts: list, p: int) -> list[np.ndarray]:
+        """Which keys of a part are counted, for each order."""
+        sizes = [int(c[p + 1] - c[p]) for c in cuts]
+        return np.split(np.unpackbits(np.frombuffer(flags[p][0], np.uint8), count=sum(sizes)).astype(bool), np.cumsum(sizes)[:-1])
+
+    def counts_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of the n-grams that matter, by part; the block's words go to the first part."""
+        if not left.num_rows:
+            return _table(_COUNTS, [])
+        b, flags = left.column("block")[0].as_py(), _by_part(right, "flags")
+        sizes, _, grams = _block(left, order)
+        known, cuts, rows = [], [], []
+        for g in grams:
+            known.append((g.known, g.count.astype(np.uint32)))
+            cuts.append(g.cuts(parts))
+        for p in sorted({0, *flags} if sizes.sum() else ()):
+            keep = wanted(flags, cuts, p) if p in flags else [np.zeros(0, bool)] * order
+            some = [[x[c[p] : c[p + 1]][f] for x in ks] if len(f) else [x[:0] for x in ks] for ks, c, f in zip(known, cuts, keep)]
+            if p == 0 or any(len(k) for k, _ in some):
+                rows.append((p, b, np.array([len(k) for k, _ in some], np.uint32).tobytes(), b"".join(squeezed(k) for k, _ in some), b"".join(planes(c) for _, c in some), int(sizes.sum()) if p == 0 else 0))
+        release()
+        return _table(_COUNTS, rows)
 
     def summed(table: pa.Table) -> pa.Table:
-        keys = [expanded(x) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, counts)[inverse].astype(np.int64)
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array([np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8).T).tobytes() for t in np.split(totals, cut)], pa.binary())})
+        """For each block its n-grams' counts in all blocks."""
+        out = [[] for _ in range(table.num_rows)]
+        for keys, counts in zip(split_orders(table, 8, "keys"), split_orders(table, 4, "counts")):
+            keys, counts = [expanded(x) for x in keys], np.concatenate([unplaned(x, np.uint32) for x in counts])
+            flat = np.concatenate(keys)
+            o = in_order(flat)
+            new = np.ones(len(o), bool)
+            new[1:] = flat[o][1:] != flat[o][:-1]
+            group = np.cumsum(new) - 1
+            totals = np.empty(len(o), np.int64)
+            totals[o] = np.bincount(group, counts[o])[group].astype(np.int64) if len(o) else 0
+            for x, t in zip(out, np.split(totals, np.cumsum([len(k) for k in keys])[:-1])):
+                x.append(planes(t))
+        words = sum(table.column("words").to_pylist())
+        release()
+        return _table(_TOTALS, [(b, p, b"".join(x), words) for b, p, x in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), out)])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({k: pa.array([], t) for k, t in OUT.items()})
-        block = _Block(left, order)
-        told = dict(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
-        total = np.zeros(len(block.known), np.int64)
-        for p, at in block.parts(parts):
-            total[at] = np.ascontiguousarray(np.frombuffer(told[p], np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-        n_docs = len(block.sizes)
-        of = np.repeat(np.arange(n_docs), block.sizes)
-        # counts in other documents: of each order's n-gram at each word
-        elsewhere = []
-        for row in block.place:
-            pair, inverse, own = np.unique(of * np.int64(len(block.known)) + row, return_inverse=True, return_counts=True)
-            elsewhere.append((total[row] - own[inverse]).astype(np.float64))
-        log = np.log(np.maximum(elsewhere[1], 1)) - np.log(elsewhere[0] + 1)
-        level = np.ones(len(of), np.int64)
-        for n in range(2, order + 1):
-            context = np.zeros(len(of))
-            context[1:] = elsewhere[n - 1][:-1]
-            hit = (block.keys[n - 1] > 0) & (elsewhere[n] > 0)
-            log[hit] = np.log(elsewhere[n][hit]) - np.log(np.maximum(context[hit], elsewhere[n][hit]))
-            level[hit] = n
-        place = np.arange(len(of)) - np.repeat(np.cumsum(block.sizes) - block.sizes, block.sizes)
+        is_total = np.asarray(right.column("kind")) == 1
+        flags, totals = _by_part(right.filter(pa.array(~is_total)), "data"), _by_part(right.filter(pa.array(is_total)), "data", "words")
+        sizes, of, grams = _block(left, order)
+        place = _ramp(sizes)
+        at = dict.fromkeys(flags, (0, 0))  # bits of flags and bytes of totals that the orders before have used
+        log = level = before = None
+        for n, g in enumerate(grams, 1):
+            cut, total = g.cuts(parts), np.zeros(len(g.known) + 1, np.int64)  # the last place stands for no n-gram
+            for p, (bit, byte) in at.items():
+                size = int(cut[p + 1] - cut[p])
+                flag = np.unpackbits(np.frombuffer(flags[p][0], np.uint8), count=bit + size)[bit:].astype(bool)
+                many = 8 * int(flag.sum())
+                if many:
+                    total[cut[p] + np.flatnonzero(flag)] = unplaned(totals[p][0][byte : byte + many], np.int64)
+                at[p] = bit + size, byte + many
+            elsewhere = np.maximum(total[g.place] - g.own, 0).astype(np.float64)  # uncounted: in no other document
+            if n == 1:
+                log = np.log(np.maximum(elsewhere, 1)) - np.log(totals[0][1] - sizes[of] + 1.0) if len(of) else elsewhere
+                level = np.ones(len(of), np.int64)
+            else:
+                context = np.zeros(len(of))
+                context[1:] = before[:-1]
+                hit = elsewhere > 0
+                log[hit] = np.log(elsewhere[hit]) - np.log(np.maximum(context[hit], elsewhere[hit]))
+                level[hit] = n
+            before = elsewhere
         given_up = np.minimum(place + 1, order) - level
         log += given_up * np.log(backoff)
-        sums = np.bincount(of, log, n_docs).astype(np.float64)
+        sums = np.bincount(of, log, len(sizes)).astype(np.float64)
+        release()
         return pa.table({
-            "doc_id": left.column("doc_id"), "n_words": pa.array(block.sizes), "log_score": pa.array(sums), "mean_log_score": pa.array(sums / np.maximum(block.sizes, 1)),
-            "backed_off": pa.array(np.bincount(of[given_up > 0], minlength=n_docs).astype(np.int64)),
+            "doc_id": left.column("doc_id"), "n_words": pa.array(sizes), "log_score": pa.array(sums), "mean_log_score": pa.array(sums / np.maximum(sizes, 1)),
+            "backed_off": pa.array(np.bincount(of[given_up > 0], minlength=len(sizes)).astype(np.int64)),
         })
 
-    counted = blocked.groupBy("block").applyInArrow(tables, "part int, block int, keys binary, counts binary")
-    totals = counted.groupBy("part").applyInArrow(summed, "block int, part int, totals binary")
-    return blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored, ddl(OUT))
+    flags = blocked.groupBy("block").applyInArrow(heard, _HEARD).groupBy("part").applyInArrow(flags_of, _FLAGS)
+    counted = blocked.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(counts_of, _COUNTS)
+    totals = counted.groupBy("part").applyInArrow(summed, _TOTALS)
+    told = flags.selectExpr("block", "part", "0 AS kind", "flags AS data", "0L AS words").union(totals.selectExpr("block", "part", "1", "totals", "words"))
+    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, ddl(OUT))

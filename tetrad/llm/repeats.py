@@ -10,7 +10,8 @@ have equal anchors at equal places. Neighbouring strings with one anchor form a
    neighbours that share 100 bytes together and finds the first place of every string.
 3. Each block learns which of its strings come first in the corpus, and cuts out what all others cover.
 
-Strings are compared by their bytes in the suffix array; hashes only decide what meets where.
+Strings are compared by their bytes: stretches of one identity when they meet, all others in the suffix array. Hashes only
+decide what meets where.
 """
 
 from __future__ import annotations
@@ -110,6 +111,36 @@ class Stretches:
             setattr(self, k, getattr(self, k)[keep])
 
 
+def _differ(flat: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, lot: int = 4 << 20) -> np.ndarray:
+    """Whether the bytes at a and those at b differ, for each of the sizes (all above 0)."""
+    out, ends, i = np.zeros(len(sizes), bool), np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + lot, side="right")))
+        step = _ramp(sizes[i:j])
+        unequal = flat[np.repeat(a[i:j], sizes[i:j]) + step] != flat[np.repeat(b[i:j], sizes[i:j]) + step]
+        out[i:j] = np.logical_or.reduceat(unequal, np.cumsum(sizes[i:j]) - sizes[i:j])
+        i = j
+    return out
+
+
+def told_apart(same: np.ndarray, start: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Identities that are equal only where bytes are: where 64 bits are not enough, others get a digest of their bytes."""
+    if not len(same):
+        return same
+    order = np.argsort(same, kind="stable")
+    new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+    rows, lead = order[~new], order[new][np.cumsum(new) - 1][~new]
+    wrong = sizes[rows] != sizes[lead]
+    fit = np.flatnonzero(~wrong)
+    wrong[fit] = _differ(flat, start[rows[fit]], start[lead[fit]], sizes[rows[fit]])
+    if not wrong.any():
+        return same
+    same = same.copy()
+    for i in rows[wrong].tolist():
+        same[i] = int.from_bytes(hashlib.blake2b(flat[start[i] : start[i] + sizes[i]].tobytes(), digest_size=8).digest(), "little")
+    return told_apart(same, start, sizes, flat)
+
+
 class Block:
     """A block's rows by (doc_id, tag), end to end as bytes."""
 
@@ -137,6 +168,8 @@ class Block:
             anchors, place = np.unique(self.stretches.anchor[at], return_inverse=True)
             keep[at] = flags[s][: len(anchors)].astype(bool)[place]
         self.stretches.only(keep)
+        z = self.stretches
+        z.same = told_apart(z.same, z.start, z.count + LENGTH - 1, self.flat)
 
     def distinct(self, n: int):
         """(shard, first, inverse of its own) for each shard: first occurrences of its distinct stretches by identity."""
@@ -161,6 +194,7 @@ def _judge(entries: dict[str, np.ndarray], strings: np.ndarray, offsets: np.ndar
     different ones are sorted, and strings that share LENGTH bytes are one.
     """
     n = len(entries["same"])
+    entries["same"] = told_apart(entries["same"], offsets, entries["count"] + LENGTH - 1, strings)
     key = np.lexsort((entries["start"], entries["tag"], entries["doc"], entries["same"]))
     lead = key[np.concatenate([[True], entries["same"][key][1:] != entries["same"][key][:-1]])] if n else key
     bits = np.zeros((n, LENGTH - PIECE + 1), bool)
@@ -184,7 +218,7 @@ def _judge(entries: dict[str, np.ndarray], strings: np.ndarray, offsets: np.ndar
         text = np.zeros(first[-1] + sizes[-1] + 1, np.uint16)  # a 0 ends each stretch
         to = np.repeat(first, sizes) + _ramp(sizes)
         text[to] = strings[np.repeat(offsets[some], sizes) + _ramp(sizes)].astype(np.uint16) + 1
-        suffixes = suffix_array(text, LENGTH)
+        suffixes = suffix_array(text)
         starts = np.repeat(first, entries["count"][some]) + _ramp(entries["count"][some])
         is_start = np.zeros(len(text), bool)
         is_start[starts] = True

@@ -2,15 +2,19 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the next; the leftmost S suffixes of each run (LMS) are sorted
 first, and from their order all others are induced in one ascending and one descending pass over the buckets of first
-characters. LMS substrings themselves are sorted by the same induction and named. The string of names has an alphabet
-nearly as large as itself, where passes over buckets would be loops over single entries; its suffixes are sorted by rank
-doubling instead, and only as deep as the asked-for depth.
+characters. LMS substrings themselves are sorted by the same induction and named; unless all names differ, the string of
+names is sorted by recursion. Its alphabet would be nearly as large as itself, and passes over its buckets would be loops
+over single entries, so a name is written with two digits or three: the order of the suffixes at first digits is that of
+the names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Base of the digits of names.
+BASE = 1024
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where a suffix is of type S. The last character is the sole least one, a sentinel."""
@@ -112,15 +116,13 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, order: np.ndarray)
     return rank
 
 
-def _doubled(rank: np.ndarray, rounds: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first 2**rounds names."""
+def _doubled(rank: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names by rank doubling."""
     n, step = len(rank), 1
     order = np.argsort(rank, kind="stable")
-    for _ in range(rounds):
-        if rank.max() == n - 1:
-            break
+    while rank.max() < n - 1:
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(0, n - step)] = rank[step:]
         key = rank * (n + 1) + after + 1
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
@@ -129,8 +131,24 @@ def _doubled(rank: np.ndarray, rounds: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of the suffixes of an array of small integers, right for their first ``depth`` characters at least (or wholly)."""
+def _reduced(rank: np.ndarray, above: int) -> np.ndarray:
+    """Order of the suffixes of a string of names, by recursion. above: length of the string it was reduced from.
+
+    With digits the string may fail to be shorter than ``above`` (LMS positions at every second place throughout); only then
+    its ranks are doubled.
+    """
+    digits, most = 1, int(rank.max())
+    while most >= BASE**digits:
+        digits += 1
+    if digits * len(rank) > 0.9 * above:
+        return _doubled(rank)
+    string = rank[:, None] // BASE ** np.arange(digits - 1, -1, -1) % BASE
+    order = suffix_array(string.ravel())
+    return order[order % digits == 0] // digits
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of an array of small integers."""
     n = len(text)
     t = np.concatenate([text.astype(np.int32) + 1, np.zeros(1, np.int32)])
     sigma = int(t.max()) + 1
@@ -140,9 +158,9 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         first = induce(t, small, lms, sigma)
         is_lms = np.zeros(n + 1, bool)
         is_lms[lms] = True
-        rank = _names(t, small, lms, first[is_lms[first]])
-        rounds = int(np.ceil(np.log2(max(2, (depth or n) / 2 + 1)))) + 1  # neighbours among LMS positions are two apart at least
-        lms = lms[_doubled(rank, rounds)]
+        sorted_lms = first[is_lms[first]]
+        rank = _names(t, small, lms, sorted_lms)
+        lms = sorted_lms if rank.max() == len(lms) - 1 else lms[_reduced(rank, n)]
     return induce(t, small, lms, sigma)[1:]
 
 
