@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cache, checkpointed, ddl, held, record, ship, split_batch, texts
+from .minhash import shingle_sets
 
 #: The lexicon's size, and about how many labelled documents are learned from at most (by a hash of their id).
 MOST_TERMS, MOST_LABELLED = 4_000, 40_000
+#: Words in fewer labelled texts are not tested. Of the terms that pass, about so large a share passes by chance.
+LEAST_TEXTS, FALSE_SHARE = 4, 0.05
 
 # Characters that stand for letters in disguised spellings.
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -83,7 +86,7 @@ class Trie:
         """(term, edits) of the nearest term within its allowed edits; the first such term of the lexicon."""
         if (i := self.exact.get(word)) is not None:
             return i, 0
-        if not 4 <= len(word) <= 40 or self.near.isdisjoint(without_one(word)):
+        if not 4 <= len(word) <= 41 or self.near.isdisjoint(without_one(word)):
             return None
         best: list = [2, -1]
         self._walk(self.root, word, list(range(len(word) + 1)), None, "", best)
@@ -186,19 +189,23 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, held_out, most: in
     """(doc_id, text, label) of labelled rows outside the held-out fold, about ``most`` of them at most.
 
     The sample is a fraction of all, by a hash of the id, so that classes keep their shares. Its ids are broadcast, which
-    ``most`` bounds, so the texts are not shuffled.
+    ``most`` bounds, so that only its texts are shuffled. Of labels that disagree the greater stands, and of rows that
+    repeat an id the least text: one row for an id.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, most / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
-    return texts(docs).join(F.broadcast(known), "doc_id")
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return texts(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def learn_lexicon(train: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[float]]:
-    """Terms and weights (log odds of toxic documents) from (text, label) rows; copies of a text count once.
+    """Terms and weights (log odds of toxic documents) from (text, label) rows; copies of a text count once, and so do most
+    near copies, whose words are no evidence of their own: texts with one least shingle.
 
-    A term stands in 1.2 % of the toxic texts (four at least: fewer are chance, or copies of a text), in twenty times as large a share of them as of the others,
-    and its G-statistic is among the ``most_terms`` greatest.
+    A term stands in twenty times as large a share of the toxic texts as of the others, and in so many that chance would not
+    do: of all tested words, those with the greatest G-statistics are taken as long as about FALSE_SHARE of them may be
+    there by chance (Y. Benjamini and Y. Hochberg, 1995), and ``most_terms`` at most. So neither the size of the sample nor
+    a language's share of it sets a floor.
     """
 
     def words(batches):
@@ -207,16 +214,26 @@ def learn_lexicon(train: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[
                 seen = [(w, y) for t, y in zip(part.column("text").to_pylist(), part.column("label").to_pylist()) for w in {bare(c) for c in t.lower().split()} if 3 <= len(w) <= 40 and w.isalpha()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int32())], names=["word", "label"])
 
-    once = train.groupBy(F.md5("text").alias("key")).agg(F.max("label").alias("label"), F.min("text").alias("text")).select("text", "label")
+    def keys(batches):
+        for b in batches:
+            for part in split_batch(b):
+                sets = shingle_sets(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([int(s[0]) if len(s) else 0 for s in sets], pa.uint64()).cast(pa.int64(), safe=False)], names=[*part.schema.names, "key"])
+
+    once = train.select("text", "label").mapInArrow(keys, "text string, label int, key long").groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("text", "label")
     sizes = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1:
         return [], []
-    least = max(4, math.ceil(0.012 * n1))
     counted = once.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    counted = checkpointed(counted.where(F.col("a") + F.col("b") >= LEAST_TEXTS))
+    tested = counted.count()
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    gain = F.col("a") * odds
-    rows = counted.where((F.col("a") >= least) & (odds > math.log(20))).select("word", "a", odds.alias("odds")).orderBy(gain.desc(), "word").limit(most_terms).collect()
+    n, share = F.col("a") + F.col("b"), n1 / (n1 + n0)
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    gain = 2 * (part(F.col("a"), n * share) + part(F.col("b"), n * (1 - share))) if n0 else 4.0 * F.col("a")
+    rows = counted.where(odds > math.log(20)).select("word", odds.alias("odds"), gain.alias("gain")).orderBy(gain.desc(), "word").limit(most_terms).collect()
+    rows = rows[: max((k for k, r in enumerate(rows, 1) if math.erfc(math.sqrt(r["gain"] / 2)) <= FALSE_SHARE * k / tested), default=0)]
     return [r["word"] for r in rows], [r["odds"] / math.log(20) for r in rows]
 
 
