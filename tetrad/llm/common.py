@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one block of documents aims at; bounds a Python worker's memory.
@@ -69,6 +69,18 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
+def attached(rows: DataFrame, keys: list[str], spread: list[str], partial: list[Column], merged: list[Column], how: str = "inner", where: str = "true", tasks: int = 32) -> DataFrame:
+    """Rows with the aggregates of their group, however large it is: a group is dealt to ``tasks`` tasks by its ``spread``
+    columns, which each aggregate their share; only these few rows of a group meet, and return to where the shares are.
+
+    ``partial`` aggregates rows, ``merged`` the results of partial; groups for which ``where`` does not hold have no row.
+    """
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*spread), F.lit(tasks)).cast("int"))
+    shares = dealt.groupBy(*keys, "__deal").agg(*partial)
+    whole = shares.groupBy(*keys).agg(*merged).where(where)
+    return dealt.join(shares.select(*keys, "__deal").join(whole, keys), [*keys, "__deal"], how).drop("__deal")
+
+
 def record(columns: dict[str, pa.DataType], rows: dict) -> pa.RecordBatch:
     """A record batch of the columns, from lists or arrays."""
     return pa.RecordBatch.from_arrays([rows[k] if isinstance(rows[k], pa.Array) else pa.array(rows[k], t) for k, t in columns.items()], names=list(columns))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ship
+from .common import attached, checkpointed, ship
 
 BITS = 6
 
@@ -64,9 +64,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataF
     size 8 and is its own text; null names have a cell; repeated rows and null ids are rows of their own; an empty table
     gives no rows; other columns are ignored, and a text of any length counts whole.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null), hilbert. Shuffles: one of narrow rows to give
-    copies their representative, one range sort of narrow rows; texts are not moved. A value that many rows share is split,
-    because the sort key ends in the id. The driver gets one count for each sorted partition.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null), hilbert. Shuffles: of narrow rows to give copies
+    their representative, which deals a large group to several tasks, and one range sort of narrow rows; texts are not
+    moved. A value that many rows share is split, because the sort key ends in the id. The driver gets one count for each sorted partition.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -82,9 +82,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataF
         quantised(F.col("lang"), bits).alias("lang_cell"), quantised(F.col("source"), bits).alias("source_cell"),
     )
     same = ["size", "text_crc32", "key"]
-    first = rows.groupBy(*same).agg(F.min(F.struct("doc_id", "lang_cell", "source_cell")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    least = F.min(F.struct("doc_id", "lang_cell", "source_cell")).alias("first")
     placed = (
-        rows.join(first.select(*same, "first"), same, "left")
+        attached(rows, same, ["doc_id", "lang_cell", "source_cell"], [least, F.count("*").alias("copies")], [F.min("first").alias("first"), F.sum("copies").alias("copies")], "left", "copies > 1")
         .select("doc_id", *same, F.coalesce("first.lang_cell", "lang_cell").alias("a"), F.coalesce("first.source_cell", "source_cell").alias("b"))
         .withColumn("hilbert", curve("a", "b", log_cell(F.col("size"), bits)))
     )
@@ -108,7 +108,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataF
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents with a folder for each shard, sorted along the curve within files."""
-    placed = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
+    """Write the documents, all columns and rows, with a folder for each shard, sorted along the curve within files.
+
+    Rows find their shard by id and text, null-safely; rows that agree in both are given their places in any order.
+    """
+    key = lambda df: df.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__null", F.col("doc_id").isNull())
+    numbered = lambda df, *by: df.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__null", "__size", "__crc").orderBy(*by)))
+    assigned = key(hilbert_shards(docs, shards)).withColumnsRenamed({"size": "__size", "text_crc32": "__crc"})
+    assigned = numbered(assigned, "shard", "slot").select("__id", "__null", "__size", "__crc", "__n", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    text = F.col("text").cast("string")
+    own = key(docs).withColumn("__size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).withColumn("__crc", F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
+    placed = numbered(own, F.lit(0)).join(assigned, ["__id", "__null", "__size", "__crc", "__n"]).select(*[F.col(f"`{c}`") for c in docs.columns], "__shard", "__slot")
+    placed.repartition("__shard").sortWithinPartitions("__shard", "__slot").drop("__slot").write.partitionBy("__shard").parquet(path)
