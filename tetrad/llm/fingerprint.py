@@ -8,18 +8,26 @@ agree on a sample with the probability of their generalised Jaccard similarity,
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MOST_BYTES, Numbers, block_count, ddl, held, ship, texts
+from .common import BLOCK_BYTES, MOST_BYTES, Numbers, block_count, ddl, held, ship, split_batch, texts
 from .fertility import mixed
 
 SAMPLES = 64
 #: Terms whose variates are drawn at one time, so that the arrays stay in a core's cache.
 _LOT = 2048
+#: Terms whose clocks are held at one time; a term takes 4 bytes for each sample.
+MOST_TERMS = 1 << 17
+#: Text bytes, and texts, whose terms are numbered together.
+WINDOW_BYTES, WINDOW = 512 << 10, 256
+#: Cuts of the ids at most: the driver gets as many numbers. Blocks are streamed, so more text makes them longer, not larger
+#: in memory.
+MOST_CUTS = 20_000
 
 OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
@@ -93,13 +101,36 @@ def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, n
     return u[..., 3], u[..., 2], a1
 
 
-def signatures(docs: list[tuple[np.ndarray, np.ndarray]], samples: int) -> np.ndarray:
+def signatures(docs: list[tuple[np.ndarray, np.ndarray]], samples: int, most: int = MOST_TERMS) -> np.ndarray:
     """uint32 samples of each document (row); a document without terms gets zeros.
 
     docs: (terms, counts). The winner of a sample is a term and the quantised logarithm t of its point; both are told by
-    the bits of its clock a1 exp(-r t), t = floor(ln weight / r + beta), which depends on nothing else.
+    the bits of its clock a1 exp(-r t), t = floor(ln weight / r + beta), which depends on nothing else. Documents are taken
+    as many at a time as have ``most`` terms together, and longer ones in parts, whose least clocks are put together.
     """
-    out = np.zeros((len(docs), samples), np.uint32)
+    out = np.full((len(docs), samples), np.inf, np.float32)
+    lot: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def done() -> None:
+        for (i, *_), low in zip(lot, least_clocks([x[1:] for x in lot], samples)):
+            out[i] = np.minimum(out[i], low)
+        lot.clear()
+
+    size = 0
+    for i, (t, w) in enumerate(docs):
+        for a in range(0, len(t), most):
+            if lot and size + len(t[a : a + most]) > most:
+                done()
+                size = 0
+            lot.append((i, t[a : a + most], w[a : a + most]))
+            size += len(lot[-1][1])
+    done()
+    return np.where(np.isinf(out), np.float32(0), out).view(np.uint32)
+
+
+def least_clocks(docs: list[tuple[np.ndarray, np.ndarray]], samples: int) -> np.ndarray:
+    """The least clock of each document (row; with a term at least) in each sample (column)."""
+    out = np.empty((len(docs), samples), np.float32)
     known, place = np.unique(np.concatenate([d[0] for d in docs] or [np.zeros(0, np.uint64)]), return_inverse=True)
     weight = np.concatenate([d[1] for d in docs] or [np.zeros(0, np.int64)])
     single = np.empty((len(known), samples), np.float32)
@@ -119,7 +150,7 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]], samples: int) -> np.nd
             low = single[place[at : at + len(t)][w == 1]].min(0, initial=np.inf)
             if n := int((w > 1).sum()):
                 low = np.minimum(low, several[which[where : where + n]].min(0))
-            out[i] = low.view(np.uint32)
+            out[i] = low
             at, where = at + len(t), where + n
     return out
 
@@ -147,13 +178,14 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
     empty; two texts without terms are alike. Equal texts have equal fingerprints wherever they stand. Repeated rows are rows
     of their own; one document alone is its own next. Other columns are ignored, texts are taken whole.
 
-    Blocks of neighbouring ids are cut at quantiles of the ids; each block also gets the first row of the block after it.
-    One shuffle of the texts; the driver gets the cut points, one number for each block.
+    Blocks of neighbouring ids are cut at quantiles of the ids, sorted, and streamed; each also gets the first row of the
+    block after it. Rows of one id, or without one, are in one block. One shuffle of the texts; the driver gets the cut
+    points, MOST_CUTS numbers at most.
     """
     spark = docs.sparkSession
     ship(spark)
     given = texts(docs)
-    n = min(block_count(given, block_bytes), 20_000)
+    n = min(block_count(given, block_bytes), MOST_CUTS)
     edges = (given.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] or []) if n > 1 else []
     edges = sorted(set(edges))
 
@@ -164,7 +196,6 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, block_of(b.column("doc_id"))], names=[*b.schema.names, "block"])
 
-    blocked = given.mapInArrow(cut, "doc_id long, text string, block int")
     # each block's first row by (doc_id, text), to the block before it; the first of all goes after the last of all
     least = F.when(F.count("*") > F.count("doc_id"), F.lit(None)).otherwise(F.min("doc_id"))
     firsts = {r["block"]: r["doc_id"] for r in given.select("doc_id").mapInArrow(cut, "doc_id long, block int").groupBy("block").agg(least.alias("doc_id")).collect()}
@@ -172,30 +203,41 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
     before = {firsts[b]: a for a, b in zip([order[-1], *order] if order else [], order)}
 
     def doubled(batches):
+        names = ["doc_id", "text", "block", "halo"]
         for b in batches:
-            at = [i for i, d in enumerate(b.column("doc_id").to_pylist()) if d in before]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, bool))], names=["doc_id", "text", "block", "halo"])
+            ids = b.column("doc_id")
+            yield pa.RecordBatch.from_arrays([ids, b.column("text"), block_of(ids), pa.array(np.zeros(b.num_rows, bool))], names=names)
+            at = [i for i, d in enumerate(ids.to_pylist()) if d in before]
             if at:
                 some = b.take(pa.array(at))
                 to = pa.array([before[d] for d in some.column("doc_id").to_pylist()], pa.int32())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), to, pa.array(np.ones(len(at), bool))], names=["doc_id", "text", "block", "halo"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), to, pa.array(np.ones(len(at), bool))], names=names)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), table.column("halo").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        own, halo = [r for r in rows if not r[2]], next((r for r in rows if r[2]), None)
-        if not own:
-            return pa.table({k: pa.array([], t) for k, t in OUT.items()})
+    def compared(rows: list[tuple]) -> pa.RecordBatch:
+        """The results of all rows (doc_id, text) but the last, which is the next one of the row before."""
+        bodies = [t for _, t in rows]
+        s = signatures(batch_terms(bodies, held("word hashes", Words)), samples)
         got = []
-        for a in range(0, len(own), 256):
-            some = own[a : a + 257]  # with the one after
-            if len(some) <= 256:
-                some = [*some, halo or own[0]]
-            bodies = [t for _, t, _ in some]
-            edited = [edit(t, u) for t, u in zip(bodies, bodies[1:])]
-            s = signatures(batch_terms(bodies, held("word hashes", Words)), samples)
-            for i, t in enumerate(edited):
-                x, y, z = s[i], s[len(bodies) + i], s[i + 1]
-                got.append((some[i][0], len(bodies[i]), hashlib.sha256(t.encode()).hexdigest(), as_string(x), as_string(y), likeness(x, y), likeness(x, z)))
-        return pa.table({k: pa.array(v, t) for (k, t), v in zip(OUT.items(), zip(*got))})
-
-    return blocked.mapInArrow(doubled, "doc_id long, text string, block int, halo boolean").groupBy("block").applyInArrow(run, ddl(OUT))
+        for i, ((doc, t), u) in enumerate(zip(rows, bodies[1:])):
+            x, y, z = s[i], s[len(bodies) + i], s[i + 1]
+            got.append((doc, len(t), hashlib.sha256(edit(t, u).encode()).hexdigest(), as_string(x), as_string(y), likeness(x, y), likeness(x, z)))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in zip(OUT.values(), zip(*got))], names=list(OUT))
+
+    def run(batches):
+        rows = (r for whole in batches for b in split_batch(whole) for r in zip(*[b.column(c).to_pylist() for c in ("block", "halo", "doc_id", "text")]))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            window, size = [], 0
+            for _, halo, doc, text in own:
+                window.append((doc, text))
+                size += len(text)
+                if halo:  # the first row of the block after it
+                    break
+                if len(window) > 1 and (size > WINDOW_BYTES or len(window) > WINDOW):
+                    yield compared(window)
+                    window, size = window[-1:], len(text)
+            if len(window) > 1:
+                yield compared(window)
+
+    sort = ["block", "halo", F.col("doc_id").asc_nulls_first(), "text"]
+    blocked = given.mapInArrow(doubled, "doc_id long, text string, block int, halo boolean")
+    return blocked.repartition("block").sortWithinPartitions(*sort).mapInArrow(run, ddl(OUT))
