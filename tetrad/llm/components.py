@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import attached, checkpointed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,9 +13,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its neighbours v as m. Only minima are gathered, so a hub is one row of the sum."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    """(u, v) with the least of u and its neighbours v as m. A hub's pairs are dealt to several tasks."""
+    return attached(pairs, ["u"], ["v"], [F.min("v").alias("m")], [F.least("u", F.min("m")).alias("m")])
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held, ship, split_batch, texts
+from .common import attached, checkpointed, held, ship, split_batch, texts
 from .components import components
 from .fertility import mixed
 from .fingerprint import Words
@@ -110,15 +110,16 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit id of each set, by its content."""
+def _class_ids(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """A 64-bit id of each set, by its content; ids of another salt are independent of it."""
     with np.errstate(over="ignore"):
-        return np.array([np.bitwise_xor.reduce(mixed(s + np.uint64(len(s)))) + s.sum(dtype=np.uint64) * _M if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        add, by = mixed(np.array([salt, salt + 1], np.uint64) * _M) | np.uint64(1)
+        return np.array([np.bitwise_xor.reduce(mixed(s * by + add)) + mixed(np.array([len(s)], np.uint64))[0] + s.sum(dtype=np.uint64) * by if len(s) else 0 for s in sets], np.uint64).view(np.int64)
 
 
-def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, cid (the set's id), keys (of its bands), bits (packed low bits); the last three are null for
-    empty sets. docs: of texts(), with ``row``."""
+def signed_documents(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, row, n_shingles, cid (the set's id), check (another one), keys (of its bands), bits (packed low bits); the last
+    four are null for empty sets. docs: of texts(), with ``row``."""
 
     def run(batches):
         for whole in batches:
@@ -127,13 +128,13 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 low = minima(full)
                 keys, bits = iter(band_keys(low)), iter(packed(low))
-                cid = [int(c) if len(s) else None for s, c in zip(sets, _class_ids(sets))]
+                cid, check = ([int(c) if len(s) else None for s, c in zip(sets, _class_ids(sets, n))] for n in (salt, salt + 1_000_000))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), *[pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (keys, bits)]],
-                    names=["doc_id", "row", "n_shingles", "cid", "keys", "bits"],
+                    [b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(check, pa.int64()), *[pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (keys, bits)]],
+                    names=["doc_id", "row", "n_shingles", "cid", "check", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, cid long, keys binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, cid long, check long, keys binary, bits binary")
 
 
 def _in_bands(classes: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str], salt: int) -> DataFrame:
     """The wanted rows (row, cid, ...) with the set of their class, from the texts read again.
 
     ``row`` is a hash of the id and the text, never null, so that texts without an id are found too. What asks for a text is
@@ -184,25 +185,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
                 texts_: dict[str, int] = {}
                 place = [texts_.setdefault(t, len(texts_)) for t in b.column("text").to_pylist()]
                 sets = shingle_sets(list(texts_))
-                own = _class_ids(sets)
+                own = _class_ids(sets, salt)
                 some = pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array([sets[i].tobytes() for i in place], pa.binary())], names=[*columns, "set"])
                 yield some.filter(pa.array(own[place] == np.asarray(b.column("cid"))))
 
     return docs.join(asked, "row").select("text", *columns).mapInArrow(sets_of, ", ".join(f"{c} {types[c]}" for c in columns) + ", set binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, salt: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose full sets link.
 
     Only the texts of classes in question are read again. Each set travels once for each of its pairs to its partner's
     bucket of pairs; a class with many partners is split over buckets, which each get its set.
     """
-    partners = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PARTNERS).cast("int"))
-    split = pairs.join(partners, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    buckets = F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")
+    partners = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", buckets)
+    split = attached(pairs, ["a"], ["b"], [F.count("*").alias("n")], [F.sum("n").alias("n")]).select("a", "b", buckets).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     wanted = split.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("side")).union(partners.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0)))
     wanted = checkpointed(wanted.join(classes.select("cid", "row"), "cid"))
     groups = max(8, wanted.count() // PARTNERS)
-    sets = _sets(docs, wanted, ["cid", "a", "part", "side"])
+    sets = _sets(docs, wanted, ["cid", "a", "part", "side"], salt)
 
     def run(table: pa.Table) -> pa.Table:
         first: dict = {}
@@ -278,7 +280,7 @@ def _across(told: DataFrame, classes: DataFrame) -> DataFrame:
     return mine.select(*columns).union(other.select(*columns)).groupBy("bucket", "i", "j").applyInArrow(run, "tile string, a binary, b binary")
 
 
-def _confirmed_tiles(tiles: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _confirmed_tiles(tiles: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, salt: int) -> DataFrame:
     """Links (a, b) among the tiles' candidates, as many as join what they join; each set travels once to each tile.
 
     Pairs that links found before in the tile already join are not looked at again: their link would change nothing.
@@ -291,7 +293,7 @@ def _confirmed_tiles(tiles: DataFrame, docs: DataFrame, classes: DataFrame, thre
                 yield pa.RecordBatch.from_arrays([pa.array([tile] * len(cid), pa.string()), pa.array(cid)], names=["tile", "cid"])
 
     wanted = checkpointed(tiles.select("tile", "a", "b").mapInArrow(members, "tile string, cid long").join(classes.select("cid", "row"), "cid"))
-    sets = _sets(docs, wanted, ["cid", "tile"])
+    sets = _sets(docs, wanted, ["cid", "tile"], salt)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sets_ = {c: np.frombuffer(x.as_buffer(), np.uint64) for c, x in zip(left.column("cid").to_pylist(), left.column("set"))}
@@ -323,7 +325,7 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.union(wider.join(comps.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, salt: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Linked are documents with 100 * intersection >= threshold * union of their sets of five-word shingles (or of one
@@ -331,18 +333,23 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     empty text has an empty set, links with nothing and is kept. Rows that repeat an id are judged each by its own text; a
     null id takes part in links but never is a component's id, and is kept only if its component has no other. Other
     columns are ignored; texts of any length count whole.
+
+    A shingle is its 64-bit hash, and sets are one class if both of two 64-bit ids are the same. If sets of one id differ in
+    the other, all is done again with ids of another ``salt``.
     """
     ship(docs.sparkSession)
-    docs = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    signed = checkpointed(signed_documents(docs))
+    given, docs = docs, texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    signed = checkpointed(signed_documents(docs, salt))
     row = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))), F.min("row"))  # a row with an id, if there is any
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), row.alias("row"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), row.alias("row"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("mixed"))
     classes = checkpointed(classes)
+    if not classes.where("mixed").isEmpty():
+        return near_duplicates(given, threshold, salt + 1)
     bands = _in_bands(classes)  # read twice, for the counts and for the members
     buckets = bands.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = checkpointed(bands.join(buckets, "bucket"))
     bits = classes.select("cid", "bits")
-    confirm = lambda pairs: checkpointed(_confirmed(checkpointed(_estimated(_with_bits(pairs, bits))), docs, classes, threshold))
+    confirm = lambda pairs: checkpointed(_confirmed(checkpointed(_estimated(_with_bits(pairs, bits))), docs, classes, threshold, salt))
     links = confirm(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
     comps = checkpointed(components(links.toDF("u", "v")))
     outside = None
@@ -358,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     else:
         told = checkpointed(_told(members, comps))
     if outside:
-        final = _joined(comps, checkpointed(_confirmed_tiles(checkpointed(_across(told, classes)), docs, classes, threshold)))
+        final = _joined(comps, checkpointed(_confirmed_tiles(checkpointed(_across(told, classes)), docs, classes, threshold, salt)))
     else:
         final = comps
     linked = classes.select("cid", "doc_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
