@@ -33,8 +33,9 @@ class WordCoder:
     """Ids of a lower-casing vocabulary with word ends, exactly as ``tokenizers`` gives them, by distinct words.
 
     The merges run in ``tiktoken`` with a zero byte for the word's end: it takes, as the vocabulary's own merges do, the
-    adjacent pair of least rank. Words with a zero byte of their own, and texts with the control characters that Python
-    but not Unicode counts as white space, go to ``tokenizers`` itself.
+    adjacent pair of least rank. Words with a zero byte of their own, texts with the control characters that Python but
+    not Unicode counts as white space, and texts with the string of a special token, which is that token's id, go to
+    ``tokenizers`` itself.
     """
 
     def __init__(self, vocabulary: bytes, most: int = MOST_BYTES):
@@ -43,7 +44,6 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(vocabulary.decode())
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         told = json.loads(vocabulary)
         split = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.find = regex.compile(split).findall
@@ -53,6 +53,7 @@ class WordCoder:
         ranks |= dict.fromkeys(ended(a) + ended(b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]))
         ranks = {t: r for r, t in enumerate(ranks)}
         special = {x["content"] for x in told["added_tokens"]}
+        self.special = tuple(x.lower() for x in special)
         self.id_of = [b""] * len(ranks)
         for t, i in told["model"]["vocab"].items():
             if t not in special:
@@ -77,7 +78,8 @@ class WordCoder:
 
     def code(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian uint32."""
-        odd = [not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        lower = [t.lower() if "<" in t else "" for t in texts]
+        odd = [not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f") or any(x in u for x in self.special) for t, u in zip(texts, lower)]
         cut = [[] if o else (t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower().split() for t, o in zip(texts, odd)]
         self.chunks.want(p for c in cut for p in c)
         at = self.chunks.__getitem__
