@@ -28,8 +28,21 @@ BASE = " ".join(f"word{i}" for i in range(60))
 EDGE = [
     (1, BASE), (2, BASE), (3, BASE + " tail"), (3, BASE + " tail"), (4, None), (5, ""), (6, "   \n\t "), (None, "no id here at all"), (7, LONG), (8, "x" * 70_000), (9, "one two"), (10, "ONE two"),
     (11, "a  b   c \n\n d\t "), (12, "it's 123 ²½ é ☃ 日本　語 Σ İ"), (13, "\n \n a"), (14, sentence(80, 1)), (15, sentence(80, 1) + " " + BASE), (16, "nul\x00in the text"), (17, "ctrl\x1cspace"),
+    (18, "a <|endoftext|> b<|StartOfText|>c <|startoftext|>"),
 ]
 
+#: Running text of several languages and lengths, which no band may reject.
+RUNNING = [
+    "The river had risen in the night, and by the time we reached the bridge the lower road was under water and the farmers were leading their cattle up to the church.",
+    "She opened the letter, read it twice, and put it back on the table. It was raining. The boy asked whether the train would still come, and she said that it would, but she did not believe it, and he did not believe her either.",
+    "Am Abend saßen sie noch lange vor dem Haus und sprachen über die Ernte, über den Krieg und über die Kinder, die in der Stadt lebten und nur selten schrieben.",
+    "Le marché ouvrait à six heures, et déjà les femmes du village arrivaient avec leurs paniers, en parlant du prix des œufs, du curé et de la nouvelle route qu'on allait construire.",
+    "Cuando llegó el invierno, los hombres bajaron de la montaña con las ovejas y la casa volvió a llenarse de voces, de humo y de olor a pan recién hecho.",
+    "Κάθε πρωί ο γέρος κατέβαινε στο λιμάνι, μιλούσε με τους ψαράδες για τον καιρό και γύριζε στο σπίτι του με δύο ψάρια τυλιγμένα σε μια παλιά εφημερίδα για τη γάτα.",
+    "Утром он вышел из дома раньше обычного, потому что хотел успеть на первый поезд, но на станции ему сказали, что поезда сегодня не будет и что дорогу занесло снегом.",
+]
+RUNNING.append(" ".join(RUNNING[:2]) + " " + "By noon the water had fallen, and the men went down with shovels to see what was left of the mill, the two boats and the fence that had cost so much the year before.")
+
 
 @pytest.fixture(scope="module")
 def edge(spark):
@@ -61,7 +74,6 @@ def test_packing_round_trip(edge, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = packing.pack_documents(edge, vocabulary("word_bpe_49k.json"), keep=True).collect()
     docs = collections.defaultdict(list)
     for r in got:
@@ -150,10 +162,27 @@ def test_rules(spark, edge, empty):
         assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
         assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in got)
     kept = fertility.keep_documents(edge, vocabulary("piece_bpe_32k.model"))
-    assert kept.columns == edge.columns and {14, 15} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == edge.columns and {14, 15}.isdisjoint({r.doc_id for r in kept.collect()})  # of nine words each
+    running = spark.createDataFrame(list(enumerate(RUNNING)), "doc_id long, text string")
+    assert {r.doc_id for r in fertility.keep_documents(running, vocabulary("piece_bpe_32k.model")).collect()} == set(range(len(RUNNING)))
     assert fertility.rule_measures(empty, vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_bands_tell_laden_texts_from_running_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = [r for r in fertility.rule_measures(docs, vocabulary("piece_bpe_32k.model")).join(labels, "doc_id").collect() if not r.base_failed]
+    bad, good = ([r.kept for r in got if r.quality == q] for q in (0, 1))
+    assert len(good) > 200 and all(good) and len(bad) > 15 and sum(bad) < 0.35 * len(bad)
+
+
+@given(st.integers(1, 20_000))
+def test_least_entropy_is_interpolated(n):
+    floors = np.array([fertility.BANDS["LATIN"][2]])
+    want = np.interp(np.log2(n), range(5, 13), floors[0]) if n >= 32 else floors[0][0] * np.log2(n) / 5
+    assert math.isclose(fertility.least_entropy(floors, np.array([n]))[0], want, abs_tol=1e-9) and want <= max(6.45, np.log2(n))
+
+
 def test_fertility_by_library(edge):
     import sentencepiece
 
@@ -185,6 +214,39 @@ def test_shards(edge, empty):
     assert hilbert.hilbert_shards(empty).count() == 0
 
 
+def test_shards_follow_the_curve(spark):
+    """Against a plain sort by cell, and copies at the place of their first one."""
+    r = np.random.default_rng(13)
+    rows = [(i, " ".join(r.choice(WORDS, int(r.integers(1, 9)))), "ab"[i % 2], f"s{i % 5}") for i in range(300)] + [(1000 + i, "the same text", "ab"[i % 2], f"s{i % 7}") for i in range(200)]
+    got = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 7).collect()
+    placed = [x.hilbert for x in sorted(got, key=lambda x: (x.shard, x.slot))]
+    assert placed == sorted(placed) and len({x.hilbert for x in got if x.doc_id >= 1000}) == 1
+    assert len(got) == len(rows)
+
+
+def test_written_shards_hold_every_row(spark, edge, tmp_path):
+    hilbert.write_shards(edge, f"{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, back.select(*edge.columns).collect())) == sorted(map(str, edge.collect())) and back.select("__shard").distinct().count() == 4
+
+
+def test_written_buckets_hold_equal_lengths(spark, edge, tmp_path):
+    packing.write_buckets(packing.pack_documents(edge, vocabulary("word_bpe_49k.json"), keep=True), f"{tmp_path}/buckets")
+    back = spark.read.parquet(f"{tmp_path}/buckets").collect()
+    assert all(1 << r.bucket == r.length for r in back) and len(back) == packing.pack_documents(edge, vocabulary("word_bpe_49k.json")).count()
+
+
+def test_groups_are_dealt_to_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tetrad.llm.common import attached
+
+    rows = spark.range(1000).selectExpr("id", "IF(id < 700, NULL, id % 50) AS k", "id * 7 % 31 AS v")
+    got = attached(rows.where("k IS NOT NULL"), ["k"], ["id"], [F.min("v").alias("m"), F.count("*").alias("n")], [F.min("m").alias("m"), F.sum("n").alias("n")], "left", "n > 5")
+    want = rows.where("k IS NOT NULL").join(rows.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 5"), "k", "left")
+    assert sorted(map(str, got.select("id", "k", "m", "n").collect())) == sorted(map(str, want.select("id", "k", "m", "n").collect()))
+
+
 def test_hilbert_curve_is_one_path():
     for dims, bits in ((2, 4), (3, 3)):
         g = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1)
@@ -201,6 +263,38 @@ def test_fingerprints(spark, edge, empty):
     assert all(0 <= r.near_edited <= 1 and (r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint) for r in every)
     assert got[1, len(BASE)].fingerprint == got[2, len(BASE)].fingerprint and got[1, len(BASE)].near_next == 1.0
     assert fingerprint.fingerprint_documents(empty).count() == 0
+    one = fingerprint.fingerprint_documents(edge.where("doc_id = 7")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0 and one[0].fingerprint == got[7, len(LONG)].fingerprint
+
+
+def test_fingerprints_by_plain_sampling(monkeypatch):
+    """Term by term and sample by sample, with the same variates; and the terms of edited texts from their words."""
+    r = np.random.default_rng(12)
+    bodies = [" ".join(r.choice(WORDS, r.integers(0, 30))) + " " * int(r.integers(0, 3)) for _ in range(60)] + ["", "one", " one", LONG[:5000]]
+    words = fingerprint.Words()
+
+    def plain_terms(text):
+        h = [np.uint64(fingerprint.word_hash(w)) for w in text.encode().lower().split()]
+        with np.errstate(over="ignore"):
+            keys = [int(fingerprint.mixed(np.array([a * np.uint64(3) + b * fingerprint._G]))[0]) for a, b in zip(h, h[1:])] if len(h) > 1 else [int(x) for x in h]
+        return collections.Counter(keys)
+
+    edited = [fingerprint.edit(t, u) for t, u in zip(bodies, bodies[1:])]
+    got = fingerprint.batch_terms(bodies, words)
+    assert [dict(zip(t.tolist(), w.tolist())) for t, w in got] == [dict(plain_terms(t)) for t in bodies + edited]
+
+    def plain(t, w):
+        if not len(t):
+            return [0] * 16
+        v2, v1, a1 = fingerprint.variates(t, 16)
+        part = -np.log(v2)
+        rate = part - np.log(v1)
+        clock = np.where((w > 1)[:, None], a1 * np.exp(-rate * np.floor((np.log(w.astype(np.float32))[:, None] + part) / rate)), a1)
+        return clock.min(0).astype(np.float32).view(np.uint32).tolist()
+
+    want = [plain(t, w) for t, w in got]
+    assert fingerprint.signatures(got, 16).tolist() == want
+    assert fingerprint.signatures(got, 16, 7).tolist() == want  # in lots, and long texts in parts
 
 
 def test_sampling_is_unbiased():
@@ -266,6 +360,28 @@ def test_near_duplicates(spark, edge, empty):
     assert kept.columns == edge.columns and {2, 3, 10}.isdisjoint({x.doc_id for x in kept.collect()})
 
 
+def test_sets_of_one_class_id_are_told_apart(spark, monkeypatch):
+    plain = minhash._class_ids
+    monkeypatch.setattr(minhash, "_class_ids", lambda sets, salt: plain(sets, salt) & 1 if salt == 0 else plain(sets, salt))
+    rows = variants()[:14] + [(7000, BASE), (7001, BASE)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == near_groups(rows)
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    """Recall of pairs, without the help of other links: 3,000 pairs of similarity 0.75 share a band each."""
+    r = np.random.default_rng(14)
+    n, common = 3000, 60  # 60 of 80 in common
+    sets = []
+    for _ in range(n):
+        x = r.integers(0, 2**63, 80).astype(np.uint64)
+        sets += [np.sort(x[:70]), np.sort(np.concatenate([x[:common], x[70:]]))]
+    assert all(minhash.similar(sets[2 * i], sets[2 * i + 1], 75) for i in range(50))
+    low = minhash.minima(sets)
+    keys, bits = minhash.band_keys(low), minhash.packed(low)
+    assert (keys[::2] == keys[1::2]).any(1).all() and (minhash.estimate(bits[::2], bits[1::2]) >= minhash.LEAST_ESTIMATE).all()
+
+
 def test_near_copies_without_an_id(spark):
     r = np.random.default_rng(7)
 
@@ -344,6 +460,41 @@ def test_repeats(spark, edge, empty, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_equal_identities_are_compared_by_bytes(spark, monkeypatch):
+    flat = np.frombuffer(b"abcabdabcabd", np.uint8)
+    start, sizes = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3])
+    told = repeats.told_apart(np.zeros(4, np.uint64), start, sizes, flat)
+    assert told[0] == told[2] and told[1] == told[3] and told[0] != told[1]
+    assert repeats.told_apart(np.zeros(2, np.uint64), start[:2], np.array([3, 2]), flat)[1] != 0
+    # with identities of three bits all is as before
+    plain = repeats.Stretches.__init__
+
+    def short(self, *a):
+        plain(self, *a)
+        self.same = self.same & np.uint64(7)
+
+    monkeypatch.setattr(repeats.Stretches, "__init__", short)
+    rows = [(i, t) for i, t in EDGE if i not in (7, None)] + variants()[:12]
+    blocks = [repeats.Block(repeats.pa.table({"doc_id": [i for i, _ in rows], "tag": list(range(len(rows))), "text": [t or "" for _, t in rows]}))]
+    z = blocks[0].stretches
+    same = repeats.told_apart(z.same, z.start, z.count + 99, blocks[0].flat)
+    by = collections.defaultdict(set)
+    for s, a, n in zip(same.tolist(), z.start.tolist(), (z.count + 99).tolist()):
+        by[s].add(blocks[0].flat[a : a + n].tobytes())
+    assert len(by) > 8 and all(len(x) == 1 for x in by.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(2, 9))
+def test_recursion_of_suffix_arrays(values, base):
+    t, b = np.array(values * 3, np.uint8), bytes(values * 3)
+    before, suffix.BASE = suffix.BASE, base
+    try:
+        assert suffix.suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    finally:
+        suffix.BASE = before
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=80))
 def test_suffix_arrays(values):
@@ -402,6 +553,61 @@ def test_automaton_finds_what_edit_distance_finds():
     assert m.code("1d10t!") and m.code("m0r0n") and m.code("idiooooot") and not m.code("patriot")
 
 
+def test_automaton_equals_a_table_of_edits():
+    r = np.random.default_rng(15)
+    terms = sorted({"".join(r.choice(list("abcd"), int(r.integers(3, 9)))) for _ in range(60)})
+    trie = toxicity.Trie(terms)
+
+    def distance(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    hits = 0
+    for _ in range(1500):
+        w = "".join(r.choice(list("abcd"), int(r.integers(1, 10))))
+        found = [(distance(w, t), k) for k, t in enumerate(terms)]
+        best = min(((d, k) for d, k in found if d <= toxicity.edits_allowed(terms[k]) and (d == 0 or len(w) >= 4)), default=None)
+        assert trie.find(w) == (best and (best[1], best[0])), w
+        hits += best is not None
+    assert hits > 100
+
+
+def test_lexicon_equals_a_plain_count(spark):
+    r = np.random.default_rng(16)
+    rows = []
+    for i in range(500):
+        y = int(i % 9 == 0)
+        w = list(r.choice([f"w{k}" .replace("0", "o").replace("1", "l") for k in range(40)] + ["alpha", "beta", "gamma"], 12))
+        w += (["vile"] if y and i % 2 else []) + (["rare"] if y and i < 30 else []) + (["nasty"] if r.random() < (0.9 if y else 0.02) else [])
+        rows.append((" ".join(w), y))
+    terms, weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    count = {y: collections.Counter(w for t, z in set(rows) if z == y for w in set(t.split()) if w.isalpha() and len(w) > 2) for y in (0, 1)}
+    n1, n0 = (sum(z == y for _, z in set(rows)) for y in (1, 0))
+    tested, gains = [w for w in count[0] | count[1] if count[0][w] + count[1][w] >= 4], {}
+    for w in tested:
+        a, b = count[1][w], count[0][w]
+        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        if odds > math.log(20):
+            gains[w] = 2 * sum(x * math.log(x / ((a + b) * s / (n1 + n0))) for x, s in ((a, n1), (b, n0)) if x), odds / math.log(20)
+    ranked = sorted(gains, key=lambda w: (-gains[w][0], w))
+    passed = [k for k, w in enumerate(ranked, 1) if math.erfc(math.sqrt(gains[w][0] / 2)) <= 0.05 * k / len(tested)]
+    want = {w: gains[w][1] for w in ranked[: passed[-1]]}
+    assert {"vile", "nasty"} <= set(want) and set(terms) == set(want) and all(math.isclose(x, want[t]) for t, x in zip(terms, weights))
+
+
+def test_labels_that_disagree_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None), (4, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    assert sorted(map(tuple, toxicity.labelled(docs, labels, "toxic", lambda i: F.lit(False)).collect())) == [(1, "a", 1), (2, "", 0)]
+
+
 def test_quotation_is_told_from_abuse():
     m = toxicity.Model(["idiot"], [2.0])
     (x, _, q), (y, _, p) = m.features('she wrote that the word "idiot" is rude'), m.features("you are such an idiot really")
@@ -460,14 +666,37 @@ def test_discriminant_is_the_log_density_ratio():
 
 
 def test_pipeline_on_the_small_tables(spark, sf):
+    """Every stage against plain rules on its own input."""
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
-    for name, stage in c.STAGES[:-1]:
-        before = docs.count()
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= before, name
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    pieces = c.packing(spark, docs, sf).groupBy("doc_id").sum("length").collect()
-    assert {r.doc_id for r in pieces} == {i for i, _ in rows}
-    assert near_groups(rows) and all(n == 1 for n in collections.Counter(i for i, _ in rows).values())
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    stages = dict(c.STAGES)
+    rows_of = lambda df: {r.doc_id: r.text for r in df.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    given_ = rows_of(docs)
+    clean = stages["toxicity"](spark, docs, sf).cache()
+    kept = rows_of(clean)
+    assert clean.columns == columns and set(kept) < set(given_) and len(toxic - set(kept)) >= 0.6 * len(toxic) and len(kept) >= len(given_) - 3 * len(toxic)
+
+    ruled = stages["quality rules"](spark, clean, sf).cache()
+    fine = rows_of(ruled)
+    counts = {i: base_counts(t) for i, t in kept.items()}
+    failed = {i for i, x in counts.items() if x[0] < 20 or 100 * x[4] > 30 * x[0]}
+    assert ruled.columns == columns and failed.isdisjoint(fine) and len(fine) >= 0.85 * (len(kept) - len(failed))
+
+    one = stages["MinHash near-dedup"](spark, ruled, sf).cache()
+    left = rows_of(one)
+    groups = near_groups(sorted(fine.items()))
+    assert one.columns == columns and set(left) == {i for i, (least, _) in groups.items() if i == least} and len(left) < len(fine)
+
+    cut = stages["suffix-array dedup"](spark, one, sf).cache()
+    short, sizes = rows_of(cut), {i: n for i, _, n, _, _ in removed(sorted(left.items()))}
+    assert cut.columns == columns and set(short) == set(left) and all((short[i] == left[i]) == (n == 0) and len(short[i].encode()) >= len(left[i].encode()) - n - 6 * (n > 0) for i, n in sizes.items())
+    assert any(sizes.values()) and all(r.n_chars == len(r.text) for r in cut.collect())
+
+    pieces = stages["packing"](spark, cut, sf).collect()
+    total = collections.Counter()
+    for r in pieces:
+        total[r.doc_id] += r.length
+    assert set(total) == set(short) and all(total[r.doc_id] == r.doc_tokens for r in pieces)
