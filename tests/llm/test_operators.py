@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers as P
-from tetrad.llm import backoff, bpe, components, fertility, fingerprint, hilbert, minhash, packing, quality, repeats, suffix, toxicity
+from tetrad.llm import backoff, bpe, components, fertility, fingerprint, hilbert, minhash, packing, quality, repeats, suffix, toxicity, words
 from tetrad.llm.queries import fold, vocabulary
 
 WORDS = "the of and thing erth reading blend worth tion hean ".split()
@@ -106,14 +106,12 @@ def test_workers_that_forget_words_code_as_before():
     whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     with open(vocabulary("word_bpe_49k.json"), "rb") as f, open(vocabulary("piece_bpe_32k.model"), "rb") as g:
         words, model = packing.WordCoder(f.read(), 3), g.read()
-    few, many, hashes, all_hashes = fertility.Vocabulary(model, 3), fertility.Vocabulary(model), fingerprint.Words(3), fingerprint.Words()
+    few, many = fertility.Vocabulary(model, 3), fertility.Vocabulary(model)
     for lot in lots:
         assert pieces.code(lot) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in lot]
         assert words.code(lot) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in lot]
         x, y = (fertility.measure(lot, v, fertility.BANDS) for v in (few, many))
         assert all(list(x[k]) == list(y[k]) for k in x)
-        split = [w for t in lot for w in fingerprint.split(t)]
-        assert hashes.hashes(split).tolist() == all_hashes.hashes(split).tolist()
     first = held("one", list)
     assert held("one", list) is first and held("two", dict) == {} and held("one", list) is not first
 
@@ -267,20 +265,47 @@ def test_fingerprints(spark, edge, empty):
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].fingerprint == got[7, len(LONG)].fingerprint
 
 
-def test_fingerprints_by_plain_sampling(monkeypatch):
+def plain_hash(word):
+    """The hash of a word, byte by byte."""
+    low = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & low
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & low
+        return x ^ x >> 31
+
+    if len(word) > words.LONG:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    h = mix(len(word) * 0x9E3779B97F4A7C15 & low)
+    for k in range(0, len(word), 8):
+        h = mix(h * 0x9E3779B97F4A7C15 & low ^ int.from_bytes(word[k : k + 8], "little"))
+    return h
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aAbZé \n\x0b\x1c☃0123456789"), max_size=60), max_size=8))
+def test_words_are_hashed_alike_wherever_they_stand(bodies):
+    h, sizes = words.hashed_words(bodies)
+    assert h.tolist() == [plain_hash(w) for t in bodies for w in t.encode().lower().split()] and sizes.tolist() == [len(t.encode().split()) for t in bodies]
+
+
+def test_long_words_are_hashed_whole():
+    some = ["x" * n + t for n in (7, 8, 9, words.LONG - 1, words.LONG, words.LONG + 1, 5000) for t in "ab"]
+    assert words.hashed_words([" ".join(some)])[0].tolist() == [plain_hash(w.encode()) for w in some]
+
+
+def test_fingerprints_by_plain_sampling():
     """Term by term and sample by sample, with the same variates; and the terms of edited texts from their words."""
     r = np.random.default_rng(12)
     bodies = [" ".join(r.choice(WORDS, r.integers(0, 30))) + " " * int(r.integers(0, 3)) for _ in range(60)] + ["", "one", " one", LONG[:5000]]
-    words = fingerprint.Words()
 
     def plain_terms(text):
-        h = [np.uint64(fingerprint.word_hash(w)) for w in text.encode().lower().split()]
+        h = [np.uint64(plain_hash(w)) for w in text.encode().lower().split()]
         with np.errstate(over="ignore"):
             keys = [int(fingerprint.mixed(np.array([a * np.uint64(3) + b * fingerprint._G]))[0]) for a, b in zip(h, h[1:])] if len(h) > 1 else [int(x) for x in h]
         return collections.Counter(keys)
 
     edited = [fingerprint.edit(t, u) for t, u in zip(bodies, bodies[1:])]
-    got = fingerprint.batch_terms(bodies, words)
+    got = fingerprint.batch_terms(bodies + edited)
     assert [dict(zip(t.tolist(), w.tolist())) for t, w in got] == [dict(plain_terms(t)) for t in bodies + edited]
 
     def plain(t, w):
@@ -298,12 +323,12 @@ def test_fingerprints_by_plain_sampling(monkeypatch):
 
 
 def test_sampling_is_unbiased():
-    r, words = np.random.default_rng(5), fingerprint.Words()
+    r = np.random.default_rng(5)
     err = []
     for _ in range(40):
-        a = [str(x).encode() for x in r.integers(0, 12, 300)]
-        b = a[:150] + [str(x).encode() for x in r.integers(0, 12, 150)]
-        x, y = (fingerprint.terms(words.hashes(w)) for w in (a, b))
+        a = [str(x) for x in r.integers(0, 12, 300)]
+        b = a[:150] + [str(x) for x in r.integers(0, 12, 150)]
+        x, y = fingerprint.batch_terms([" ".join(a), " ".join(b)])
         s = fingerprint.signatures([x, y], 512)
         p, q = (dict(zip(*z)) for z in (x, y))
         true = sum(min(p.get(k, 0), q.get(k, 0)) for k in p | q) / sum(max(p.get(k, 0), q.get(k, 0)) for k in p | q)
@@ -507,6 +532,17 @@ def test_suffix_arrays(values):
         assert common[order[k]] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q or i == 16), min(len(x), len(y), 16))
 
 
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=300, unique=True), st.integers(0, 60))
+def test_keys_and_counts_travel_whole(keys, shift):
+    x = np.sort(np.array(keys, np.uint64) >> np.uint64(shift))
+    data = backoff.squeezed(x)
+    assert backoff.expanded(data).tolist() == x.tolist() and backoff.count_of(data) == len(x)
+    counts = (x >> np.uint64(4)).astype(np.int64)
+    assert backoff.unplaned(backoff.planes(counts)).tolist() == counts.tolist()
+    mixed = x[::-1].copy()
+    assert backoff.in_order(mixed).tolist() == np.argsort(mixed, kind="stable").tolist() == backoff.in_order(mixed, 64 - shift).tolist()
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_backoff(spark, edge, empty, order):
     rows = [(i, t or "") for i, t in EDGE]

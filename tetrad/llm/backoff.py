@@ -8,35 +8,39 @@ A document's own occurrences are taken off the counts that score it, so that no
 n-grams of one document alone need no counts: blocks first tell the leading bits of their n-grams' hashes, and count only
 those that another document may have. What shares the leading bits by chance is counted like the rest.
 
-Words and n-grams are 64-bit hashes; two n-grams of one hash would be counted as one, which n distinct n-grams do about
-n * n / 2**65 times in all.
+Words are 64-bit hashes, and n-grams as many bits of one as the corpus's size needs: two n-grams of one hash would be
+counted as one, which befalls an n-gram about once in 2**29 times at any size.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, block_count, ddl, held, in_blocks, release, ship, texts
-from .fertility import mixed
-from .fingerprint import Words, split
+from .common import BLOCK_BYTES, block_count, ddl, in_blocks, release, ship, texts
+from .words import hashed_words, mixed
 
 ORDER, BACKOFF = 3, 0.4
 #: Text bytes whose n-grams one part of the hash space holds on average.
-PART = 32 << 20
+PART = 8 << 20
+#: Bits of a hash beyond those that number the corpus's bytes: those first told, and those that tell n-grams apart.
+LEAD, APART = 2, 26
 
 OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64(), "backed_off": pa.int64()}
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngrams(words: np.ndarray, sizes: np.ndarray, order: int):
-    """Keys of the n-grams that end at each word, for n from 1 to ``order``; 0 where the document has too few words before."""
-    place, key = _ramp(sizes), np.zeros(len(words), np.uint64)
+def ngrams(words: np.ndarray, sizes: np.ndarray, order: int, bits: int = 64):
+    """Keys of the n-grams that end at each word, for n from 1 to ``order``; 0 where the document has too few words before.
+    Only their leading bits are set."""
+    place, key, last = _ramp(sizes), np.zeros(len(words), np.uint64), np.uint64(1 << 64 - bits)
     for n in range(1, order + 1):
         key[n - 1 :] += words[: max(0, len(words) - n + 1)] * np.uint64(pow(int(_G), 2 * n - 1, 1 << 64))
-        yield np.where(place >= n - 1, mixed(mixed(key) + np.uint64(n)) | np.uint64(2), np.uint64(0))
+        yield np.where(place >= n - 1, mixed(mixed(key) + np.uint64(n)) & ~(last - np.uint64(1)) | last, np.uint64(0))
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -56,26 +60,58 @@ def in_order(x: np.ndarray, bits: int = 64) -> np.ndarray:
 
 
 def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of equal weight, which compresses well."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences in R. Rice's code: what exceeds k bits in unary, the k low bits as bytes and the rest of bits.
+    The differences of hashes are even enough for this to come near their entropy."""
+    if not len(keys):
+        return b""
+    d = np.diff(keys)
+    k = max(0, int(d.mean()).bit_length() - 1) if len(d) else 0
+    high = (d >> np.uint64(k)).astype(np.int64)
+    unary = np.zeros(int(high.sum()) + len(d), np.uint8)
+    unary[np.cumsum(high + 1) - 1] = 1
+    low = d.view(np.uint8).reshape(-1, 8)
+    rest = (d >> np.uint64(k - k % 8)).astype(np.uint8)[:, None] >> np.arange(k % 8, dtype=np.uint8) & 1
+    whole = np.ascontiguousarray(low[:, : k // 8].T)
+    return struct.pack("<BQII", k, int(keys[0]), len(keys), len(unary)) + np.packbits(unary).tobytes() + whole.tobytes() + np.packbits(rest.ravel()).tobytes()
+
+
+def count_of(data: bytes) -> int:
+    """How many keys are in squeezed data."""
+    return struct.unpack_from("<BQII", data)[2] if data else 0
 
 
 def expanded(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    if not data:
+        return np.zeros(0, np.uint64)
+    k, first, n, bits = struct.unpack_from("<BQII", data)
+    at = struct.calcsize("<BQII")
+    raw, m = np.frombuffer(data, np.uint8), n - 1
+    ends = np.flatnonzero(np.unpackbits(raw[at : at - (-bits // 8)], count=bits))
+    d = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
+    at -= -bits // 8
+    for i in range(k // 8):
+        d |= raw[at + i * m : at + (i + 1) * m].astype(np.uint64) << np.uint64(8 * i)
+    at += k // 8 * m
+    if k % 8:
+        rest = np.unpackbits(raw[at:], count=m * (k % 8)).reshape(m, -1)
+        d |= (rest.astype(np.uint64) << np.arange(k - k % 8, k, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), d]), dtype=np.uint64)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte of equal weight."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Counts byte by byte of equal weight, as many as the largest needs."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def unplaned(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8)[1:].reshape(width, -1)
+    return sum(raw[i].astype(np.int64) << 8 * i for i in range(width))
 
 
 class Grams:
-    """The n-grams of one order in a block: distinct keys in order with counts, and whether several documents have them;
-    for each word the place of its n-gram among the keys (-1 without one) and how often its document has it."""
+    """The n-grams of one order in a block: distinct keys in order with counts, and whether several documents have them."""
 
     def __init__(self, keys: np.ndarray, of: np.ndarray):
         at = np.flatnonzero(keys)
@@ -85,24 +121,29 @@ class Grams:
         new[1:] = k[1:] != k[:-1]
         new_doc = new.copy()
         new_doc[1:] |= docs[1:] != docs[:-1]
-        group, run = np.cumsum(new) - 1, np.cumsum(new_doc) - 1
-        self.known, self.count = k[new], np.bincount(group)
-        self.many = np.bincount(group[new_doc]) > 1
-        self.place, self.own = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        self.place[order], self.own[order] = group, np.bincount(run)[run] if len(run) else run
+        first = np.flatnonzero(new)
+        self.known, self.count = k[first], np.diff(first, append=len(k))
+        self.many = np.add.reduceat(new_doc, first, dtype=np.int64) > 1 if len(first) else first > 0
+        self._words, self._order, self._new, self._new_doc = len(keys), order, new, new_doc
+
+    def of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the place of its n-gram among the keys (-1 without one), and how often its document has it."""
+        place, own, first = np.full(self._words, -1), np.zeros(self._words, np.int64), np.flatnonzero(self._new_doc)
+        place[self._order] = np.cumsum(self._new) - 1
+        times = np.diff(first, append=len(self._order))
+        own[self._order] = np.repeat(times, times)
+        return place, own
 
     def cuts(self, parts: int) -> np.ndarray:
         """Where the keys of each part begin; parts are equal ranges of the hash space."""
         return np.searchsorted((self.known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def _block(table: pa.Table, order: int):
+def _block(table: pa.Table, order: int, bits: int):
     """(sizes of the texts, document of each word, an iterator of Grams by order)."""
-    cut = [split(t) for t in table.column("text").to_pylist()]
-    sizes = np.array([len(c) for c in cut], np.int64)
-    words = held("word hashes", Words).hashes([w for c in cut for w in c])
+    words, sizes = hashed_words(table.column("text").to_pylist())
     of = np.repeat(np.arange(len(sizes)), sizes)
-    return sizes, of, (Grams(keys, of) for keys in ngrams(words, sizes, order))
+    return sizes, of, (Grams(keys, of) for keys in ngrams(words, sizes, order, bits))
 
 
 def _by_part(rows: pa.Table, *columns: str) -> dict[int, tuple]:
@@ -110,14 +151,15 @@ def _by_part(rows: pa.Table, *columns: str) -> dict[int, tuple]:
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
     return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(x.split() for x in schema.split(", "))})
 
 
-_HEARD = "part int, block int, sizes binary, keys binary, many binary"
+# Arrays have an entry for each order.
+_HEARD = "part int, block int, keys array<binary>, many binary"
 _FLAGS = "block int, part int, flags binary"
-_COUNTS = "part int, block int, sizes binary, keys binary, counts binary, words long"
-_TOTALS = "block int, part int, totals binary, words long"
+_COUNTS = "part int, block int, keys array<binary>, counts array<binary>, words long"
+_TOTALS = "block int, part int, totals array<binary>, words long"
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -134,49 +176,38 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     blocks = block_count(docs, block_bytes)
     parts = max(8, -(-blocks * block_bytes // PART))
     blocked = in_blocks(docs, blocks).select("block", "doc_id", "text")
-    # leading bits of a hash: by chance an n-gram shares them with another one in about one of 64 cases, at any size
-    bits = min(64, (blocks * block_bytes).bit_length() + 6)
-    shift = np.uint64(64 - bits)
+    size = (blocks * block_bytes).bit_length()
+    # by chance an n-gram shares the leading bits of another one in about one of 30 cases, at any size
+    bits, shift = min(64, size + APART), np.uint64(64 - min(64, size + LEAD))
 
     def heard(table: pa.Table) -> pa.Table:
         """Leading bits of the block's n-grams by part."""
-        b, rows = table.column("block")[0].as_py(), [[[], [], []] for _ in range(parts)]
-        for g in _block(table, order)[2]:
+        b, rows = table.column("block")[0].as_py(), [([], []) for _ in range(parts)]
+        for g in _block(table, order, bits)[2]:
             cut, lead = g.cuts(parts), g.known >> shift
             for row, x, y in zip(rows, cut, cut[1:]):
-                row[0].append(y - x)
-                row[1].append(squeezed(lead[x:y]))
-                row[2].append(g.many[x:y])
-        release()
-        return _table(_HEARD, [(p, b, np.array(n, np.uint32).tobytes(), b"".join(k), np.packbits(np.concatenate(m)).tobytes()) for p, (n, k, m) in enumerate(rows) if sum(n)])
-
-    def split_orders(rows: pa.Table, width: int, column: str):
-        """For each order the arrays of the rows, from a column of as many bytes for each key."""
-        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) * width for x in rows.column("sizes").to_pylist()]
-        data, at = rows.column(column).to_pylist(), [0] * len(sizes)
-        for n in range(order):
-            got = [d[a : a + s[n]] for d, a, s in zip(data, at, sizes)]
-            at = [a + s[n] for a, s in zip(at, sizes)]
-            yield got
+                row[0].append(squeezed(lead[x:y]))
+                row[1].append(g.many[x:y])
+        return _table(_HEARD, [(p, b, k, np.packbits(np.concatenate(m)).tobytes()) for p, (k, m) in enumerate(rows) if any(k)])
 
     def flags_of(table: pa.Table) -> pa.Table:
         """For each block which of its n-grams another document may have."""
-        p = table.column("part")[0].as_py()
-        base = np.uint64(min(((p << 32) // parts) << 32, 2**64 - 1)) >> shift
-        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("sizes").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=s.sum()) for x, s in zip(table.column("many").to_pylist(), sizes)]
-        out = [[] for _ in sizes]
-        for n, told in enumerate(split_orders(table, 8, "keys")):
-            lead = np.concatenate([expanded(x) for x in told]) - base
+        p, data = table.column("part")[0].as_py(), table.column("keys").to_pylist()
+        sizes = np.array([[count_of(x) for x in row] for row in data])
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=s.sum()).astype(bool) for x, s in zip(table.column("many").to_pylist(), sizes)]
+        out = [[] for _ in data]
+        for n in range(order):
+            lead = np.concatenate([expanded(row[n]) for row in data])
+            lead -= lead.min() if len(lead) else np.uint64(0)
             o = in_order(lead, int(lead.max()).bit_length() if len(lead) else 1)
             new = np.ones(len(o), bool)
             new[1:] = lead[o][1:] != lead[o][:-1]
             group = np.cumsum(new) - 1
             flag = np.empty(len(o), bool)
             flag[o] = (np.bincount(group) > 1)[group] if len(o) else False
-            for i, (f, s, m) in enumerate(zip(np.split(flag, np.cumsum([s[n] for s in sizes])[:-1]), sizes, many)):
-                a = int(s[:n].sum())
-                out[i].append(f | m[a : a + s[n]].astype(bool))
+            for i, f in enumerate(np.split(flag, np.cumsum(sizes[:, n])[:-1])):
+                a = int(sizes[i, :n].sum())
+                out[i].append(f | many[i][a : a + len(f)])
         release()
         return _table(_FLAGS, [(b, p, np.packbits(np.concatenate(x)).tobytes()) for b, x in zip(table.column("block").to_pylist(), out)])
 
@@ -190,26 +221,27 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         if not left.num_rows:
             return _table(_COUNTS, [])
         b, flags = left.column("block")[0].as_py(), _by_part(right, "flags")
-        sizes, _, grams = _block(left, order)
+        sizes, _, grams = _block(left, order, bits)
         known, cuts, rows = [], [], []
         for g in grams:
-            known.append((g.known, g.count.astype(np.uint32)))
+            known.append((g.known >> np.uint64(64 - bits), g.count))
             cuts.append(g.cuts(parts))
         for p in sorted({0, *flags} if sizes.sum() else ()):
             keep = wanted(flags, cuts, p) if p in flags else [np.zeros(0, bool)] * order
             some = [[x[c[p] : c[p + 1]][f] for x in ks] if len(f) else [x[:0] for x in ks] for ks, c, f in zip(known, cuts, keep)]
             if p == 0 or any(len(k) for k, _ in some):
-                rows.append((p, b, np.array([len(k) for k, _ in some], np.uint32).tobytes(), b"".join(squeezed(k) for k, _ in some), b"".join(planes(c) for _, c in some), int(sizes.sum()) if p == 0 else 0))
+                rows.append((p, b, [squeezed(k) for k, _ in some], [planes(c) for _, c in some], int(sizes.sum()) if p == 0 else 0))
         release()
         return _table(_COUNTS, rows)
 
     def summed(table: pa.Table) -> pa.Table:
         """For each block its n-grams' counts in all blocks."""
-        out = [[] for _ in range(table.num_rows)]
-        for keys, counts in zip(split_orders(table, 8, "keys"), split_orders(table, 4, "counts")):
-            keys, counts = [expanded(x) for x in keys], np.concatenate([unplaned(x, np.uint32) for x in counts])
+        told, counted = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+        out = [[] for _ in told]
+        for n in range(order):
+            keys, counts = [expanded(row[n]) for row in told], np.concatenate([unplaned(row[n]) for row in counted])
             flat = np.concatenate(keys)
-            o = in_order(flat)
+            o = in_order(flat, bits)
             new = np.ones(len(o), bool)
             new[1:] = flat[o][1:] != flat[o][:-1]
             group = np.cumsum(new) - 1
@@ -219,27 +251,26 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
                 x.append(planes(t))
         words = sum(table.column("words").to_pylist())
         release()
-        return _table(_TOTALS, [(b, p, b"".join(x), words) for b, p, x in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), out)])
+        return _table(_TOTALS, [(b, p, x, words) for b, p, x in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), out)])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({k: pa.array([], t) for k, t in OUT.items()})
         is_total = np.asarray(right.column("kind")) == 1
-        flags, totals = _by_part(right.filter(pa.array(~is_total)), "data"), _by_part(right.filter(pa.array(is_total)), "data", "words")
-        sizes, of, grams = _block(left, order)
+        flags, totals = _by_part(right.filter(pa.array(~is_total)), "flags"), _by_part(right.filter(pa.array(is_total)), "totals", "words")
+        sizes, of, grams = _block(left, order, bits)
         place = _ramp(sizes)
-        at = dict.fromkeys(flags, (0, 0))  # bits of flags and bytes of totals that the orders before have used
+        at = dict.fromkeys(flags, 0)  # flags that the orders before have used
         log = level = before = None
         for n, g in enumerate(grams, 1):
             cut, total = g.cuts(parts), np.zeros(len(g.known) + 1, np.int64)  # the last place stands for no n-gram
-            for p, (bit, byte) in at.items():
-                size = int(cut[p + 1] - cut[p])
-                flag = np.unpackbits(np.frombuffer(flags[p][0], np.uint8), count=bit + size)[bit:].astype(bool)
-                many = 8 * int(flag.sum())
-                if many:
-                    total[cut[p] + np.flatnonzero(flag)] = unplaned(totals[p][0][byte : byte + many], np.int64)
-                at[p] = bit + size, byte + many
-            elsewhere = np.maximum(total[g.place] - g.own, 0).astype(np.float64)  # uncounted: in no other document
+            for p, used in at.items():
+                at[p] = used + int(cut[p + 1] - cut[p])
+                hit = np.flatnonzero(np.unpackbits(np.frombuffer(flags[p][0], np.uint8), count=at[p])[used:])
+                if len(hit):
+                    total[cut[p] + hit] = unplaned(totals[p][0][n - 1])
+            at_key, own = g.of_words()
+            elsewhere = np.maximum(total[at_key] - own, 0).astype(np.float64)  # uncounted: in no other document
             if n == 1:
                 log = np.log(np.maximum(elsewhere, 1)) - np.log(totals[0][1] - sizes[of] + 1.0) if len(of) else elsewhere
                 level = np.ones(len(of), np.int64)
@@ -262,5 +293,5 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     flags = blocked.groupBy("block").applyInArrow(heard, _HEARD).groupBy("part").applyInArrow(flags_of, _FLAGS)
     counted = blocked.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(counts_of, _COUNTS)
     totals = counted.groupBy("part").applyInArrow(summed, _TOTALS)
-    told = flags.selectExpr("block", "part", "0 AS kind", "flags AS data", "0L AS words").union(totals.selectExpr("block", "part", "1", "totals", "words"))
+    told = flags.selectExpr("block", "part", "0 AS kind", "flags", "CAST(NULL AS array<binary>) AS totals", "0L AS words").union(totals.selectExpr("block", "part", "1", "NULL", "totals", "words"))
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, ddl(OUT))

@@ -103,6 +103,7 @@ def held(key, make):
     frees this one's first, so that a worker never holds two."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
         release()
         _HELD[key] = make()
     return _HELD[key]
@@ -110,7 +111,6 @@ def held(key, make):
 
 def release() -> None:
     """Give what is free back to the system: arrays of a few MB otherwise stay with the allocator."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import MOST_BYTES, Numbers, ddl, held, record, ship, split_batch, texts
+from .words import mixed
 
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "HAN", "OTHER", "NONE")
 
@@ -76,13 +77,6 @@ def _script(word: str) -> int:
     return SCRIPTS.index("NONE")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64 well-mixed bits from each uint64 (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Vocabulary:
     """Token ids, byte tokens and script of each distinct word; a word's number stands for it in arrays."""
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MOST_BYTES, Numbers, block_count, ddl, held, ship, split_batch, texts
-from .fertility import mixed
+from .common import BLOCK_BYTES, block_count, ddl, ship, split_batch, texts
+from .words import hashed_words, mixed
 
 SAMPLES = 64
 #: Terms whose variates are drawn at one time, so that the arrays stay in a core's cache.
@@ -34,25 +34,6 @@ OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string()
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-class Words:
-    """Hashes of words by their numbers; begun afresh once they hold ``most`` bytes."""
-
-    def __init__(self, most: int = MOST_BYTES):
-        self.most, self.number, self.hash = most, Numbers(), np.zeros(0, np.uint64)
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if self.number.bytes > self.most:
-            self.__init__(self.most)
-        at = self.number.of(words)
-        if new := self.number.taken():
-            self.hash = np.concatenate([self.hash, np.fromiter(map(word_hash, new), np.uint64, len(new))])
-        return self.hash[at]
-
-
 def terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes and counts from the word hashes of a text: pairs of neighbours, or its only word."""
     h = mixed(words[:-1] * np.uint64(3) + words[1:] * _G) if len(words) > 1 else words
@@ -61,29 +42,10 @@ def terms(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.diff(first, append=len(h))
 
 
-def split(text: str) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return text.encode().lower().split()
-
-
-def batch_terms(bodies: list[str], words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Terms of each body, and then of each body but the last edited with the next one.
-
-    The hashes of an edited text's words are those of its two sources but for the words at the cuts.
-    """
-    cut = [split(t) for t in bodies]
-    flat = words.hashes([w for c in cut for w in c])
-    ends = np.cumsum([len(c) for c in cut])
-    own = [flat[e - len(c) : e] for e, c in zip(ends, cut)]
-    joined = []
-    for i, (text, nxt) in enumerate(zip(bodies, bodies[1:])):
-        n = len(text) // 4
-        head, tail = split(text[: len(text) - n]), split(nxt[:n])
-        glued = bool(head and tail) and not text[len(text) - n - 1].encode().isspace() and not nxt[0].encode().isspace()
-        middle = head[-1:] + tail[:1] if not glued else [head[-1] + tail[0]]
-        few = words.hashes([*middle, *tail[1:][-1:]])
-        joined.append(np.concatenate([own[i][: max(0, len(head) - 1)], few[: len(middle)], own[i + 1][1 : max(1, len(tail) - 1)], few[len(middle) :]]))
-    return [terms(w) for w in own + joined]
+def batch_terms(bodies: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms of each body."""
+    words, sizes = hashed_words(bodies)
+    return [terms(words[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
 
 
 def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,11 +178,12 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
     def compared(rows: list[tuple]) -> pa.RecordBatch:
         """The results of all rows (doc_id, text) but the last, which is the next one of the row before."""
         bodies = [t for _, t in rows]
-        s = signatures(batch_terms(bodies, held("word hashes", Words)), samples)
+        edited = [edit(t, u) for t, u in zip(bodies, bodies[1:])]
+        s = signatures(batch_terms(bodies + edited), samples)
         got = []
-        for i, ((doc, t), u) in enumerate(zip(rows, bodies[1:])):
+        for i, ((doc, t), e) in enumerate(zip(rows, edited)):
             x, y, z = s[i], s[len(bodies) + i], s[i + 1]
-            got.append((doc, len(t), hashlib.sha256(edit(t, u).encode()).hexdigest(), as_string(x), as_string(y), likeness(x, y), likeness(x, z)))
+            got.append((doc, len(t), hashlib.sha256(e.encode()).hexdigest(), as_string(x), as_string(y), likeness(x, y), likeness(x, z)))
         return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in zip(OUT.values(), zip(*got))], names=list(OUT))
 
     def run(batches):

@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, checkpointed, held, ship, split_batch, texts
+from .common import attached, checkpointed, ship, split_batch, texts
 from .components import components
-from .fertility import mixed
-from .fingerprint import Words
+from .words import hashed_words, mixed
 
 WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair of similarity 0.75 is missed by all bands once in 190,000 times, one of 0.8 once in 20 million.
@@ -40,15 +39,14 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(bodies: list[str], n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: n words, or all of fewer."""
-    cut = [t.encode().lower().split() for t in bodies]
-    h = held("word hashes", Words).hashes([w for c in cut for w in c])
+    h, sizes = hashed_words(bodies)
     m = max(0, len(h) - n + 1)
     roll = np.zeros(m, np.uint64)
     for j in range(n):
         roll = roll * _M + h[j : j + m]
     roll = mixed(roll)
     out, a = [], 0
-    for k in map(len, cut):
+    for k in sizes.tolist():
         if k >= n:
             s = np.sort(roll[a : a + k - n + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])

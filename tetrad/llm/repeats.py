@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_count, ddl, in_blocks, ship, texts
-from .fertility import mixed
 from .suffix import permuted_common_prefixes, suffix_array
+from .words import mixed
 
 LENGTH, PIECE = 100, 32
 BLOCK, SHARD = 2 << 20, 12 << 20
