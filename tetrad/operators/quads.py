@@ -83,6 +83,10 @@ class QuadSource:
     def __init__(self, df: DataFrame, predicate_counts: dict[str, int] | None = None):
         self.df, self.predicate_counts = df, predicate_counts or {}
 
+    def estimate(self, iri: str) -> float | None:
+        """How many triples a predicate has, as far as that has been counted."""
+        return self.predicate_counts.get(iri, 0 if self.predicate_counts else None)
+
     def _scoped(self, ctx) -> DataFrame:
         """Quads of the active graph; the merge of FROM's graphs holds each triple once."""
         q = self.df

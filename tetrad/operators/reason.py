@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import OWL, RDF, RDFS
-from ..plans.paths import checkpointed
+from ..plans.paths import Known, checkpointed
 
 TYPE, SUB_CLASS, SUB_PROPERTY = f"<{RDF}type>", f"<{RDFS}subClassOf>", f"<{RDFS}subPropertyOf>"
 DOMAIN, RANGE, INVERSE, SAME = f"<{RDFS}domain>", f"<{RDFS}range>", f"<{OWL}inverseOf>", f"<{OWL}sameAs>"
@@ -83,9 +83,10 @@ ALL_RULES = (*RULES, *SINGLE, "transitive")
 
 def materialize(triples: DataFrame, rules: tuple[str, ...] = ALL_RULES, most_rounds: int = 100) -> DataFrame:
     """The triples (s, p, o) that the rules add, each once and none that was there; stops after ``most_rounds``."""
-    known = checkpointed(triples.select("s", "p", "o").distinct())
-    start, delta = known, known
+    start = delta = checkpointed(triples.select("s", "p", "o").distinct())
+    every = Known(start)
     for _ in range(most_rounds):
+        known = every.df
         parts = [SINGLE[r](delta) for r in rules if r in SINGLE]
         for r in rules:
             if r in RULES:
@@ -96,8 +97,8 @@ def materialize(triples: DataFrame, rules: tuple[str, ...] = ALL_RULES, most_rou
         delta = checkpointed(_minus(found, known))
         if delta.isEmpty():
             break
-        known = checkpointed(known.union(delta))
-    return _minus(known, start)
+        every.add(delta)
+    return _minus(every.df, start)
 
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:

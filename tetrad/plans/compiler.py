@@ -105,17 +105,18 @@ def filtered(sol: Solutions, f: object, ctx: Context) -> Solutions:
         return exists_join(sol, replace(f.args[0], negated=not f.args[0].negated), ctx)
     if not has_exists(f):
         return sol.filter(S.condition(f, scope(sol.values(), ctx)))
-    row, markers = "\0row", {}
-    marked = Solutions(sol.df.withColumn(name_of(row), F.monotonically_increasing_id()), sol.kinds | {row: ("integer", None)}, sol.maybe)
-    base = marked
+    marked, found = sol, 0
 
     def marker(e: A.Exists) -> Column:
-        nonlocal marked
-        n = f"\0m{len(markers)}"
-        markers[n] = e
-        found = exists_join(base, replace(e, negated=False), ctx)
-        rows = found.df.select(col(row).alias(f"~{row}"), F.lit(True).alias(name_of(n)))
-        df = marked.df.join(rows, col(row) == F.col(f"`~{row}`"), "left").drop(f"~{row}")
+        """Whether the values that the inner group sees have a solution there: they are looked up, each once, and joined."""
+        nonlocal marked, found
+        n, found = f"\0m{found}", found + 1
+        seen = A.variables(e.group).union(*[A.mentioned(f) for f in e.group.filters if not has_exists(f)])
+        names = [k for k in sol.kinds if k in seen] or list(sol.kinds)[:1]
+        keys = Solutions(sol.df.select(*[col(k) for k in names]).distinct(), {k: sol.kinds[k] for k in names}, sol.maybe & set(names))
+        hits = exists_join(keys, replace(e, negated=False), ctx)
+        hits = hits.df.select(*[col(k).alias(f"~{k}") for k in names], F.lit(True).alias(name_of(n)))
+        df = marked.df.join(hits, reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(f"`~{k}`")) for k in names]), "left").drop(*[f"~{k}" for k in names])
         marked = Solutions(df, marked.kinds | {n: ("boolean", None)}, marked.maybe)
         return col(n).isNull() if e.negated else col(n).isNotNull()
 
@@ -193,15 +194,15 @@ def service(e: A.Service, sol: Solutions, ctx: Context) -> Solutions:
 
 
 def _weight(t: A.Triple, source: object) -> float:
-    """An estimate of a pattern's matches, by which patterns are ordered."""
-    known = getattr(source, "predicate_counts", {})
-    bound = [isinstance(t.s, A.Term), isinstance(t.p, (A.Link, A.Term)), isinstance(t.o, A.Term)]
+    """An estimate of a pattern's matches, by which patterns are ordered: the source's count of the predicate if it has one."""
+    estimate = getattr(source, "estimate", lambda iri: None)
     total = 1e6
-    if isinstance(t.p, A.Link):
-        total = known.get(t.p.iri, 1e4)
-    elif not isinstance(t.p, (A.Var, A.Term)):
+    if isinstance(t.p, (A.Link, A.Term)):
+        total = estimate(t.p.iri if isinstance(t.p, A.Link) else t.p.text[1:-1])
+        total = 1e4 if total is None else total
+    elif not isinstance(t.p, A.Var):
         total = 1e7
-    return total / (1e3 if bound[0] else 1) / (1e2 if bound[2] else 1)
+    return total / (1e3 if isinstance(t.s, A.Term) else 1) / (1e2 if isinstance(t.o, A.Term) else 1)
 
 
 def basic(triples: list[A.Triple], ctx: Context) -> Solutions:
@@ -213,23 +214,24 @@ def basic(triples: list[A.Triple], ctx: Context) -> Solutions:
     stars = ctx.source.stars(rest, ctx) if hasattr(ctx.source, "stars") else []
     for used, make in stars:
         rest = [t for t in rest if t not in used]
-        parts.append((set().union(*map(A.variables, used)), min(_weight(t, ctx.source) for t in used), make))
+        parts.append((set().union(*map(A.variables, used)), min(_weight(t, ctx.source) for t in used), lambda sol, make=make: make()))
     for t in rest:
-        parts.append((A.variables(t), _weight(t, ctx.source), lambda t=t: pattern(t, ctx)))
+        parts.append((A.variables(t), _weight(t, ctx.source), lambda sol, t=t: pattern(t, ctx, sol)))
     sol, bound = Solutions(None), set()
     while parts:
         parts.sort(key=lambda p: (not (p[0] & bound) if bound else False, p[1]))
         names, _, make = parts.pop(0)
-        sol = join(sol, make())
+        sol = join(sol, make(sol))
         bound |= names
     return sol
 
 
-def pattern(t: A.Triple, ctx: Context) -> Solutions:
+def pattern(t: A.Triple, ctx: Context, sol: Solutions) -> Solutions:
+    """A pattern's solutions; a path that repeats starts from what ``sol`` already binds."""
     if isinstance(t.p, (A.Var, A.Link, A.Term)):
         p = t.p if isinstance(t.p, (A.Var, A.Term)) else A.Term(f"<{t.p.iri}>")
         return ctx.source.match(t.s, p, t.o, ctx)
-    return paths.path_pattern(t, ctx)
+    return paths.path_pattern(t, ctx, sol)
 
 
 # aggregation --------------------------------------------------------------------------------------------------------------

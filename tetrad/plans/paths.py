@@ -1,7 +1,8 @@
 """Property paths: relations (s, o) of terms or of native keys, built from steps; closures are iterated joins.
 
 A closure keeps the pairs found so far and joins only the last round's new ones, so each edge is followed once from each
-start. Starts come from the bound side where there is one. Every round ends in a checkpoint.
+start. Starts come from the bound side where there is one: a term, or what the patterns before have bound. Every round ends
+in a checkpoint of its new pairs; those of earlier rounds are written again only every COMPACT rounds.
 """
 
 from __future__ import annotations
@@ -16,19 +17,38 @@ from ..functions.terms import Value
 from . import algebra as A
 from .solutions import Solutions, name_of
 
-MOST_ROUNDS = 10_000
+MOST_ROUNDS, COMPACT = 10_000, 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder is made only where the session names none."""
+    """A reliable checkpoint in the session's shared folder; only a local session that names none gets a folder of its own."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tetrad-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tetrad-"))
     return df.checkpoint()
 
 
+class Known:
+    """A growing set of rows: the rounds' new ones, each checkpointed once, and put together now and then."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    @property
+    def df(self) -> DataFrame:
+        return reduce(lambda a, b: a.union(b), self.parts)
+
+    def add(self, delta: DataFrame) -> None:
+        self.parts.append(delta)
+        if len(self.parts) > COMPACT:
+            self.parts = [checkpointed(self.df)]
+
+
 class Relation:
     """Pairs s, o with the kinds of both columns."""
 
@@ -96,8 +116,11 @@ def nodes(ctx) -> DataFrame:
     return quads.select("s").union(quads.select("o")).distinct().toDF("n")
 
 
-def closure(path: A.Repeat, ctx, start: str | None, end: str | None) -> Relation:
-    """p?, p* and p+ as a set of pairs, from a bound start or to a bound end if one is given (N-Triples terms)."""
+def closure(path: A.Repeat, ctx, start: str | DataFrame | None, end: str | DataFrame | None) -> Relation:
+    """p?, p* and p+ as a set of pairs, from a bound start or to a bound end if one is given.
+
+    A bound side is a term in N-Triples, or a DataFrame whose column n has the terms that other patterns bind it to.
+    """
     step = relation(path.path, ctx)
     if step.s != step.o or start is not None or end is not None or path.least == 0:
         step = step.as_terms()
@@ -106,46 +129,59 @@ def closure(path: A.Repeat, ctx, start: str | None, end: str | None) -> Relation
     if backward:
         edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
     seed = end if backward else start
-    first = edges.where(F.col("s") == seed) if seed is not None else edges
+    from_seed = lambda df, c: df if seed is None else df.where(F.col(c) == seed) if isinstance(seed, str) else df.join(seed.select(F.col("n").alias("~n")), F.col(c) == F.col("~n"), "left_semi")
     if path.many:
-        edges, known = checkpointed(edges), checkpointed(first)
-        delta = known
+        edges = checkpointed(edges)
+        delta = from_seed(edges, "s") if seed is None else checkpointed(from_seed(edges, "s"))
+        known = Known(delta)
         for _ in range(MOST_ROUNDS):
             hop = delta.select("s", F.col("o").alias("m")).join(edges.select(F.col("s").alias("m2"), F.col("o").alias("t")), F.col("m") == F.col("m2"))
             new = hop.select("s", F.col("t").alias("o")).distinct()
-            both = known.select(F.col("s").alias("ks"), F.col("o").alias("ko"))
+            both = known.df.select(F.col("s").alias("ks"), F.col("o").alias("ko"))
             delta = checkpointed(new.join(both, (F.col("s") == F.col("ks")) & (F.col("o") == F.col("ko")), "left_anti"))
             if delta.isEmpty():
                 break
-            known = checkpointed(known.union(delta))
+            known.add(delta)
         else:
             raise RuntimeError("a property path did not end")
+        pairs = known.df
     else:
-        known = first
+        pairs = from_seed(edges, "s")
     if path.least == 0:
-        if seed is not None:
+        if isinstance(seed, str):
             zero = ctx.spark.createDataFrame([(seed, seed)], "s string, o string")
         else:
-            zero = nodes(ctx).select(F.col("n").alias("s"), F.col("n").alias("o"))
-        known = known.union(zero).distinct()
-    out = Relation(known, step.s, step.o)
+            zero = from_seed(nodes(ctx), "n").select(F.col("n").alias("s"), F.col("n").alias("o"))
+        pairs = pairs.union(zero).distinct()
+    out = Relation(pairs, step.s, step.o)
     return out.swapped() if backward else out
 
 
-def path_pattern(t: A.Triple, ctx) -> Solutions:
-    """The solutions of a pattern with a path. In GRAPH ?g the path is walked in each graph by itself."""
+def bound_side(n: A.Node, sol: Solutions | None) -> str | DataFrame | None:
+    """What a path's end is bound to: a term, or the terms of a variable that all solutions bind."""
+    if isinstance(n, A.Term):
+        return n.text
+    if sol is None or sol.unit or n.name not in sol.kinds or n.name in sol.maybe:
+        return None
+    return sol.df.select(T.term(sol.value(n.name)).alias("n")).distinct()
+
+
+def path_pattern(t: A.Triple, ctx, sol: Solutions | None = None) -> Solutions:
+    """The solutions of a pattern with a path. In GRAPH ?g the path is walked in each graph by itself. ``sol``: what the
+    patterns before have found, from which repetitions start."""
     if isinstance(ctx.graph, A.Var):
         from dataclasses import replace
 
         from .solutions import union
 
         graphs = [r[0] for r in ctx.source.graphs(ctx).collect()]  # names of graphs, one plan each
-        parts = [path_pattern(t, replace(ctx, graph=A.Term(g))).extend(ctx.graph.name, Value(F.lit(g), "term"), maybe=False) for g in graphs]
+        parts = [path_pattern(t, replace(ctx, graph=A.Term(g)), sol).extend(ctx.graph.name, Value(F.lit(g), "term"), maybe=False) for g in graphs]
         return reduce(union, parts) if parts else Solutions(ctx.spark.createDataFrame([], ", ".join(f"`?{n}` string" for n in A.variables(t) | {ctx.graph.name})), {n: ("term", None) for n in A.variables(t) | {ctx.graph.name}})
     if isinstance(t.p, A.Sequence) and not isinstance(t.s, A.Term) and not isinstance(t.o, A.Term):
         r = relation(t.p, ctx)
     elif isinstance(t.p, A.Repeat):
-        r = closure(t.p, ctx, t.s.text if isinstance(t.s, A.Term) else None, t.o.text if isinstance(t.o, A.Term) else None)
+        start = bound_side(t.s, sol)
+        r = closure(t.p, ctx, start, bound_side(t.o, sol) if start is None or isinstance(t.o, A.Term) else None)
     else:
         r = relation(t.p, ctx)
     df, wanted = r.df, {}

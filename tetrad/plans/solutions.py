@@ -127,9 +127,40 @@ def _without(s: Solutions, n: str) -> Solutions:
     return Solutions(s.df.drop(name_of(n)), {k: v for k, v in s.kinds.items() if k != n}, s.maybe - {n})
 
 
+def _certain(a: Solutions, b: Solutions, shared: list[str]) -> bool:
+    """Whether a join has a key, or needs none: a shared variable that is bound on both sides."""
+    return not shared or any(n not in a.maybe | b.maybe for n in shared)
+
+
+def _halves(s: Solutions, n: str) -> tuple[Solutions, Solutions | None]:
+    """The solutions that bind n; and those that do not (None if all do), where n is out of sight."""
+    if n not in s.maybe:
+        return s, None
+    bound = Solutions(s.df.filter(col(n).isNotNull()), s.kinds, s.maybe - {n})
+    hidden = {f"\0{n}" if k == n else k: v for k, v in s.kinds.items()}
+    return bound, Solutions(s.df.filter(col(n).isNull()).withColumnRenamed(name_of(n), name_of(f"\0{n}")), hidden, (s.maybe - {n}) | {f"\0{n}"})
+
+
+def _shown(s: Solutions, n: str) -> Solutions:
+    """The solutions of the second half with n again, unbound."""
+    kinds = {n if k == f"\0{n}" else k: v for k, v in s.kinds.items()}
+    return Solutions(s.df.withColumnRenamed(name_of(f"\0{n}"), name_of(n)), kinds, {n if k == f"\0{n}" else k for k in s.maybe})
+
+
+def _together(parts: list[Solutions], like: Solutions) -> Solutions:
+    df = reduce(lambda x, y: x.unionByName(y), [p.df.select(*[col(n) for n in like.kinds]) for p in parts])
+    return Solutions(df, like.kinds, like.maybe)
+
+
 def left_join(a: Solutions, b: Solutions, on) -> Solutions:
-    """OPTIONAL. on: a function from the visible values to further conditions of the join."""
+    """OPTIONAL. on: a function from the visible values to further conditions of the join.
+
+    Without a certain key it is the inner join, which is split by boundness, and what has no partner.
+    """
     a, b, shared = aligned(a, b)
+    if not _certain(a, b, shared):
+        both = join(a, b)
+        return union(reduce(Solutions.filter, on(both.values()), both), semi_join(a, b, True, on))
     right = _right(b, shared)
     conditions = _compatible(a, b, shared) + on(a.values() | {n: v for n, v in b.values().items() if n not in shared})
     c = reduce(lambda x, y: x & y, conditions, F.lit(True))
@@ -137,25 +168,52 @@ def left_join(a: Solutions, b: Solutions, on) -> Solutions:
 
 
 def semi_join(a: Solutions, b: Solutions, negated: bool, on=lambda values: []) -> Solutions:
-    """EXISTS and NOT EXISTS over the shared variables and further conditions."""
+    """EXISTS and NOT EXISTS over the shared variables and further conditions.
+
+    Without a certain key both sides are split by which of them binds a variable: solutions that bind it meet by it, then
+    those that leave it open, and only these, meet by what else they share. Where nothing is shared and no condition is
+    left, one solution of the right side decides.
+    """
     a, b, shared = aligned(a, b)
+    if not _certain(a, b, shared):
+        n = shared[0]
+        (a1, a0), (b1, b0) = _halves(a, n), _halves(b, n)
+        if negated:
+            parts = [semi_join(a1, b1, True, on)]
+            parts = [semi_join(parts[0], b0, True, on)] if b0 else parts
+        else:
+            parts = [semi_join(a1, b1, False, on)]
+            if b0:
+                parts.append(semi_join(semi_join(a1, b1, True, on), b0, False, on))
+        if a0:
+            parts.append(_shown(semi_join(a0, b, negated, on), n))
+        return _together(parts, a)
     conditions = _compatible(a, b, shared) + on(a.values() | {n: v for n, v in b.values().items() if n not in shared})
-    how = "left_anti" if negated else "left_semi"
+    how, right = "left_anti" if negated else "left_semi", _right(b, shared)
     if not conditions:
-        conditions = [F.lit(True)]
-    return Solutions(a.df.join(_right(b, shared), reduce(lambda x, y: x & y, conditions), how), a.kinds, a.maybe)
+        conditions, right = [F.lit(True)], right.limit(1)
+    return Solutions(a.df.join(right, reduce(lambda x, y: x & y, conditions), how), a.kinds, a.maybe)
 
 
 def minus(a: Solutions, b: Solutions) -> Solutions:
-    """MINUS: solutions go that are compatible with one of b and have a bound variable in common with it."""
+    """MINUS: solutions go that are compatible with one of b and have a bound variable in common with it.
+
+    Without a certain key the sides are split as in semi_join; what shares no bound variable stays.
+    """
     a, b, shared = aligned(a, b)
     if not shared or a.unit:
         return a
+    if not _certain(a, b, shared):
+        n = shared[0]
+        (a1, a0), (b1, b0) = _halves(a, n), _halves(b, n)
+        parts = [minus(a1, b1)]
+        if b0:
+            parts = [minus(parts[0], b0)]
+        if a0:
+            parts.append(_shown(minus(a0, b), n))
+        return _together(parts, a)
     conditions = _compatible(a, b, shared)
-    if all(n in a.maybe | b.maybe for n in shared):
-        conditions.append(reduce(lambda x, y: x | y, [col(n).isNotNull() & _other(n).isNotNull() for n in shared]))
     right = _right(b, shared).select(*[_other(n) for n in shared]).distinct()
-    right = right.select(*[_other(n).alias(f"~{n}") for n in shared])
     return Solutions(a.df.join(right, reduce(lambda x, y: x & y, conditions), "left_anti"), a.kinds, a.maybe)
 
 
