@@ -76,24 +76,74 @@ def time_now() -> str:
 
 
 class Store:
-    """Quads with queries and updates. An update makes a new table; nothing that a reader holds changes.
+    """Quads with queries and updates. An update adds a delta; nothing that a reader holds changes.
 
-    Kept in memory the table is checkpointed; ``save`` and ``open`` keep snapshots in a folder of any Hadoop file system.
+    The table is a base and up to MOST_DELTAS deltas (keys touched, rows that they then have), merged when read and put
+    together beyond that number. A delta is checkpointed, and costs what it touches. ``save`` and ``open`` keep the same
+    parts in a folder of any Hadoop file system.
     """
 
+    MOST_DELTAS = 8
+
     def __init__(self, spark: SparkSession, quads: DataFrame | None = None, profile: str = "cognitive"):
         if profile not in Q.PROFILES:
             raise ValueError(f"no profile {profile}")
         self.spark, self.profile = spark, profile
-        self.table = quads if quads is not None else Q.empty(spark)
+        self.base, self.deltas = quads if quads is not None else Q.empty(spark), []
         self.services: dict = {}
+        self.counts: dict[str, int] = {}  # triples by predicate, after analyze()
+        self._saved: tuple[str, list[str]] | None = None  # where base and first deltas already lie
+        self._before: list[tuple] = []
+
+    @property
+    def table(self) -> DataFrame:
+        return W.merged_all(self.base, self.deltas)
+
+    @table.setter
+    def table(self, quads: DataFrame) -> None:
+        self.base, self.deltas, self._saved = quads, [], None
+
+    def _apply(self, delta: W.Delta) -> None:
+        keys, rows = map(checkpointed, delta)
+        if keys.isEmpty() and rows.isEmpty():
+            return
+        self.deltas = [*self.deltas, (keys, rows)]
+        if len(self.deltas) > self.MOST_DELTAS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Put base and deltas together to a new base."""
+        self.table = checkpointed(self.table)
+
+    # batches
+
+    def begin(self) -> None:
+        """From here on updates can be taken back together; batches may be nested."""
+        self._before.append((self.base, self.deltas, self._saved))
+
+    def commit(self) -> None:
+        if not self._before:
+            raise RuntimeError("no batch has begun")
+        self._before.pop()
+
+    def rollback(self) -> None:
+        """The store as it was when the batch began."""
+        if not self._before:
+            raise RuntimeError("no batch has begun")
+        self.base, self.deltas, self._saved = self._before.pop()
+
+    def analyze(self, most: int = 10_000) -> dict[str, int]:
+        """Count the triples of the predicates, the ``most`` frequent of them; queries order their patterns by the counts."""
+        rows = Q.predicate_statistics(self.table).orderBy(F.col("triples").desc(), "p").limit(most).collect()
+        self.counts = {r["p"][1:-1]: r["triples"] for r in rows}
+        return self.counts
 
     # queries
 
     def query(self, text: str, now: str | None = None, terms: bool = True) -> DataFrame:
         q = parse_query(text)
         now = now or time_now()
-        source = Q.QuadSource(Q.view(self.table, q.temporal, now, self.profile))
+        source = Q.QuadSource(Q.view(self.table, q.temporal, now, self.profile), self.counts)
         df = run_query(q, _context(self.spark, source, q, now=now, services=self.services), terms)
         if q.explain:
             return self.spark.createDataFrame([(explain(q, df),)], "plan string")
@@ -101,7 +151,7 @@ class Store:
 
     def explain(self, text: str) -> str:
         q = parse_query(text)
-        source = Q.QuadSource(Q.view(self.table, q.temporal, time_now(), self.profile))
+        source = Q.QuadSource(Q.view(self.table, q.temporal, time_now(), self.profile), self.counts)
         return explain(q, run_query(q, _context(self.spark, source, q)))
 
     def graphs(self) -> DataFrame:
@@ -124,11 +174,20 @@ class Store:
             "g", "s", "p", "o", (F.col("valid_from") if "valid_from" in rows.columns else F.lit(now).cast("timestamp")).cast("timestamp").alias("valid_from"),
             (F.col("valid_to") if "valid_to" in rows.columns else F.lit(Q.OPEN).cast("timestamp")).cast("timestamp").alias("valid_to"), F.lit(now).cast("timestamp").alias("tx_time"), F.lit(False).alias("is_deleted"), F.lit(1).alias("version"),
         )
-        self.table = checkpointed((W.insert if Q.PROFILES[self.profile]["temporal"] else W.insert_versioned)(self.table, new))
+        self._apply((W.insert_delta if Q.PROFILES[self.profile]["temporal"] else W.versioned_delta)(self.touched(new), new))
+
+    def touched(self, keys: DataFrame) -> DataFrame:
+        """The part of the table in which keys can lie: the range of their predicates, and of their subjects, which the
+        layout of saved files lets a scan skip to."""
+        r = keys.agg(*[f(c).alias(f"{n}_{c}") for c in "ps" for n, f in (("least", F.min), ("most", F.max))]).first()
+        if r["least_p"] is None:
+            return self.table.limit(0)
+        inside = lambda df: df.where(F.col("p").between(r["least_p"], r["most_p"]) & F.col("s").between(r["least_s"], r["most_s"]))
+        return W.merged_all(inside(self.base), [(inside(k), inside(x)) for k, x in self.deltas])
 
     def remove(self, keys: DataFrame, valid_from=None, valid_to=None) -> None:
         self._writable()
-        self.table = checkpointed(W.delete(self.table, keys, valid_from, valid_to))
+        self._apply(W.delete_delta(self.touched(keys), keys, valid_from, valid_to))
 
     def bulk_load(self, rows: DataFrame, now: str | None = None) -> None:
         """Append quads without regard to what is there, each once: the only way into read-only profiles."""
@@ -185,17 +244,17 @@ class Store:
                 self.add(inserts, now)
         elif u.kind in ("CLEAR", "DROP"):
             where = {"DEFAULT": F.col("g") == "", "NAMED": F.col("g") != "", "ALL": F.lit(True)}.get(u.target, F.col("g") == f"<{u.target}>")
-            self.table = checkpointed(W.clear(self.table, where))
+            self._apply(W.clear_delta(self.table, where))
         elif u.kind in ("COPY", "MOVE", "ADD"):
             a, b = ("" if x == "DEFAULT" else f"<{x}>" for x in (u.source, u.target))
             if a == b:
                 return
             rows = checkpointed(live.df.where(F.col("g") == a).select(F.lit(b).alias("g"), "s", "p", "o"))
             if u.kind != "ADD":
-                self.table = checkpointed(W.clear(self.table, F.col("g") == b))
+                self._apply(W.clear_delta(self.table, F.col("g") == b))
             self.add(rows, now)
             if u.kind == "MOVE":
-                self.table = checkpointed(W.clear(self.table, F.col("g") == a))
+                self._apply(W.clear_delta(self.table, F.col("g") == a))
         elif u.kind == "LOAD":
             from ..sources.rdf import read_rdf
 
@@ -209,21 +268,41 @@ class Store:
     # snapshots
 
     def save(self, path: str) -> str:
-        """Write a snapshot and make it the folder's current one; earlier ones stay."""
+        """Write what the folder does not hold yet, and publish it as the current state; earlier states stay.
+
+        What is published is a new file that names the base's folder and those of the deltas. It is only ever created, so a
+        crash leaves the state before, and of two writers of one state the later fails.
+        """
         fs, hadoop = _file_system(self.spark, path)
-        n = 1 + max([int(x.getPath().getName()[5:]) for x in fs.listStatus(hadoop(path)) if x.getPath().getName().startswith("snap-")] if fs.exists(hadoop(path)) else [0], default=0)
-        Q.read_store_layout(self.table).write.parquet(f"{path}/snap-{n:08d}")
-        out = fs.create(hadoop(f"{path}/.CURRENT.new"), True)
-        out.write(f"snap-{n:08d} {self.profile}".encode())
+        n = 1 + max([int(x.getPath().getName()[5:]) for x in (fs.listStatus(hadoop(path)) if fs.exists(hadoop(path)) else []) if x.getPath().getName().startswith("snap-")], default=0)
+        place, names = self._saved if self._saved and self._saved[0].rsplit("/", 1)[0] == path else (f"{path}/base-{n:08d}", None)
+        if names is None:
+            Q.read_store_layout(self.base).write.mode("overwrite").parquet(place)
+            names = []
+        for i, (keys, rows) in enumerate(self.deltas[len(names) :], len(names)):
+            names = [*names, f"delta-{n:08d}-{i}"]
+            keys.write.mode("overwrite").parquet(f"{path}/{names[-1]}/keys")
+            Q.read_store_layout(rows).write.mode("overwrite").parquet(f"{path}/{names[-1]}/rows")
+        out = fs.create(hadoop(f"{path}/snap-{n:08d}"), False)
+        out.write(" ".join([self.profile, place.rsplit("/", 1)[1], *names]).encode())
         out.close()
-        fs.delete(hadoop(f"{path}/CURRENT"), False)
-        fs.rename(hadoop(f"{path}/.CURRENT.new"), hadoop(f"{path}/CURRENT"))
+        self._saved = place, names
         return f"snap-{n:08d}"
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, snapshot: str | None = None) -> Store:
-        name, profile = spark.read.text(f"{path}/CURRENT").first()[0].split(" ")
-        return cls(spark, spark.read.schema(Q.SCHEMA).parquet(f"{path}/{snapshot or name}"), profile)
+    def open(cls, spark: SparkSession, path: str, published: str | None = None) -> Store:
+        """The current state of a folder, or an earlier one by name. FileNotFoundError if none has been published."""
+        fs, hadoop = _file_system(spark, path)
+        there = [x.getPath().getName() for x in (fs.listStatus(hadoop(path)) if fs.exists(hadoop(path)) else [])]
+        name = published or max((x for x in there if x.startswith("snap-")), default=None)
+        if name not in there:
+            raise FileNotFoundError(f"no store in {path}")
+        profile, base, *names = spark.read.text(f"{path}/{name}").first()[0].split(" ")
+        store = cls(spark, spark.read.schema(Q.SCHEMA).parquet(f"{path}/{base}"), profile)
+        keys = ", ".join(f"{c} string" for c in W.KEY)
+        store.deltas = [(spark.read.schema(keys).parquet(f"{path}/{d}/keys"), spark.read.schema(Q.SCHEMA).parquet(f"{path}/{d}/rows")) for d in names]
+        store._saved = f"{path}/{base}", names
+        return store
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -239,9 +318,10 @@ class StorePool:
 
     def get_or_create(self, name: str, profile: str = "cognitive") -> Store:
         if name not in self.stores:
-            fs, hadoop = _file_system(self.spark, self.root)
-            there = fs.exists(hadoop(f"{self.root}/{name}/CURRENT"))
-            self.stores[name] = Store.open(self.spark, f"{self.root}/{name}") if there else Store(self.spark, profile=profile)
+            try:
+                self.stores[name] = Store.open(self.spark, f"{self.root}/{name}")
+            except FileNotFoundError:
+                self.stores[name] = Store(self.spark, profile=profile)
         self.active = self.active or name
         return self.stores[name]
 

@@ -1,4 +1,4 @@
-"""Streams of N-Quads files into a store: every micro-batch is one set of inserts and one snapshot."""
+"""Streams of N-Quads files into a store: every micro-batch is one delta, which holds what it touches."""
 
 from __future__ import annotations
 
@@ -20,9 +20,7 @@ def ingest(spark: SparkSession, source: str, store_path: str, checkpoint: str, n
     def write(batch: DataFrame, number: int) -> None:
         try:
             store = Store.open(spark, store_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        except FileNotFoundError:
             store = Store(spark)
         store.add(batch, now)
         store.save(store_path)
