@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,3 +62,15 @@ def dry_run(quads: DataFrame, options: PruneOptions, now: str) -> DataFrame:
     """How many quads would stay of how many, by graph."""
     kept = prune(quads, options, now).groupBy("g").agg(F.count("*").alias("kept"))
     return quads.groupBy("g").agg(F.count("*").alias("total")).join(kept, "g", "left").select("g", "total", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+def verified(quads: DataFrame, copy: DataFrame, options: PruneOptions, now: str) -> Column:
+    """Whether a copy holds what pruning its source gives, by rows and checksum; both are read."""
+    a, b = checksum(prune(quads, options, now)).first(), checksum(copy).first()
+    return F.lit(a == b)
+
+
+def audit(quads: DataFrame, copy: DataFrame, options: PruneOptions, now: str) -> DataFrame:
+    """One row that tells what was pruned when and how: time, options as JSON, rows before and after, and the checksum."""
+    kept = checksum(copy).select(F.col("rows").alias("kept"), "checksum")
+    return quads.agg(F.count("*").alias("total")).crossJoin(kept).select(F.lit(now).cast("timestamp").alias("time"), F.lit(json.dumps(asdict(options), sort_keys=True)).alias("options"), "total", "kept", "checksum")

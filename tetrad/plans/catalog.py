@@ -65,8 +65,6 @@ sparql("theta_join", "SELECT ?p ?q WHERE { ?a :s_suppkey ?p ; :s_acctbal ?x ; :s
        "SELECT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
 sparql("optional_filter", "SELECT ?k ?price WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_totalprice ?price FILTER(?price > 400000) } }",
        "SELECT c_custkey AS k, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000")
-sparql("optional_then_join", "SELECT ?k ?o ?name WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus \"P\" } ?c :c_nationkey ?n . ?n :n_name ?name FILTER(?k <= 300) }",
-       "SELECT c_custkey AS k, 'urn:t:orders/' || o_orderkey AS o, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_custkey <= 300")
 sparql("optional_then_join_whole", "SELECT ?k ?o ?name WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus \"P\" } ?c :c_nationkey ?n . ?n :n_name ?name }",
        "SELECT c_custkey AS k, 'urn:t:orders/' || o_orderkey AS o, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 sparql("optional_outer_filter", "SELECT ?k ?s WHERE { ?c :c_custkey ?k ; :c_acctbal ?b OPTIONAL { ?s :s_suppkey ?m ; :s_acctbal ?t FILTER(?t > ?b && ?m = ?k) } }",
@@ -79,6 +77,19 @@ sparql("filter_exists", "SELECT ?k WHERE { ?c :c_custkey ?k FILTER EXISTS { ?o :
 sparql("filter_not_exists", "SELECT ?k WHERE { ?p :p_partkey ?k FILTER NOT EXISTS { ?l :l_partkey ?p ; :l_quantity ?q FILTER(?q > 45) } }", "SELECT p_partkey AS k FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 sparql("exists_correlated", "SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t < ?b * 10) } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < c_acctbal * 10)")
 sparql("exists_in_expression", "SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o :o_custkey ?c ; :o_orderstatus \"P\" }) }", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+_P_ORDERS = "(SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P')"
+_URGENT = "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+_OPEN = "SELECT k, 'urn:t:orders/' || o AS o FROM " + _P_ORDERS
+sparql("optional_chain", 'SELECT ?k ?o ?p WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus "P" } OPTIONAL { ?l :l_orderkey ?o ; :l_linenumber 7 ; :l_quantity ?q ; :l_extendedprice ?p FILTER(?q >= 50) } }',
+       f"SELECT k, 'urn:t:orders/' || coalesce(o, l_orderkey) AS o, l_extendedprice AS p FROM {_P_ORDERS} LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7) ON o IS NULL OR o = l_orderkey")
+sparql("minus_after_optional", 'SELECT ?k ?o WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus "P" } MINUS { ?o :o_orderpriority "1-URGENT" } }', f"{_OPEN} WHERE o IS NULL OR o NOT IN {_URGENT}")
+sparql("exists_after_optional", 'SELECT ?k ?o WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus "P" } FILTER EXISTS { ?o :o_orderpriority "1-URGENT" } }', f"{_OPEN} WHERE o IS NULL OR o IN {_URGENT}")
+sparql("not_exists_after_optional", 'SELECT ?k ?o WHERE { ?c :c_custkey ?k OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus "P" } FILTER NOT EXISTS { ?o :o_orderpriority "1-URGENT" } }', f"{_OPEN} WHERE o IS NOT NULL AND o NOT IN {_URGENT}")
+sparql("minus_rows", 'SELECT ?k WHERE { ?c :c_custkey ?k MINUS { ?o :o_custkey ?c ; :o_orderstatus "P" ; :o_orderpriority "1-URGENT" } }', "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
+sparql("exists_twice_in_expression", 'SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER(IF(EXISTS { ?o :o_custkey ?c ; :o_orderstatus "P" }, ?b > 5000, NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > ?b * 90) })) }',
+       "SELECT c_custkey AS k FROM customer WHERE CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN c_acctbal > 5000 ELSE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 90) END")
+sparql("scan_key", "SELECT ?p ?d WHERE { <urn:t:orders/7> :o_totalprice ?p ; :o_orderdate ?d }", "SELECT o_totalprice AS p, o_orderdate AS d FROM orders WHERE o_orderkey = 7")
+sparql("scan_foreign_key", "SELECT ?k WHERE { ?o :o_custkey <urn:t:customer/7> ; :o_orderkey ?k }", "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 7")
 sparql("values_join", 'SELECT ?k ?w WHERE { VALUES (?seg ?w) { ("BUILDING" 1) ("HOUSEHOLD" 2) } ?c :c_mktsegment ?seg ; :c_custkey ?k }', "SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 1::BIGINT ELSE 2::BIGINT END AS w FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')")
 sparql("values_undef", 'SELECT ?r ?n ?w WHERE { ?x :r_regionkey ?r ; :r_name ?n . VALUES (?r ?w) { (1 10) (UNDEF 20) } }', "SELECT r_regionkey::BIGINT AS r, r_name AS n, w::BIGINT AS w FROM region JOIN (VALUES (1, 10), (NULL, 20)) v(k, w) ON k IS NULL OR k = r_regionkey")
 sparql("sub_select", "SELECT ?name ?m WHERE { { SELECT ?n (MAX(?b) AS ?m) WHERE { ?c :c_nationkey ?n ; :c_acctbal ?b } GROUP BY ?n } ?n :n_name ?name }", "SELECT n_name AS name, m FROM nation JOIN (SELECT c_nationkey, max(c_acctbal) AS m FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
@@ -127,15 +138,25 @@ sparql("functions_terms", "SELECT ?k (STR(?x) AS ?iri) (isIRI(?x) AS ?i) (isLite
 sparql("functions_control", "SELECT ?k (IF(?b < 0, \"debt\", \"credit\") AS ?w) (COALESCE(?none, ?k) AS ?c) (BOUND(?b) AS ?bo) WHERE { ?x :c_custkey ?k ; :c_acctbal ?b }", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS w, '\"' || c_custkey || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS c, true AS bo FROM customer")
 sparql("functions_casts", "PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> SELECT ?k (xsd:integer(?b) AS ?i) (xsd:string(?k) AS ?s) (xsd:double(?k) AS ?d) (xsd:boolean(?k) AS ?t) (COALESCE(xsd:integer(\"1.5\"), -1) AS ?bad) WHERE { ?x :c_custkey ?k ; :c_acctbal ?b }", "SELECT c_custkey AS k, trunc(c_acctbal)::BIGINT AS i, c_custkey::VARCHAR AS s, c_custkey::DOUBLE AS d, c_custkey <> 0 AS t, -1::BIGINT AS bad FROM customer")
 sparql("functions_regex", 'SELECT ?k WHERE { ?p :p_partkey ?k ; :p_type ?t FILTER(REGEX(?t, "^(small|large).*brass", "i") || REGEX(?t, "STEEL$")) }', "SELECT p_partkey AS k FROM part WHERE regexp_matches(p_type, '^(small|large).*brass', 'i') OR regexp_matches(p_type, 'STEEL$')")
+sparql("functions_regex_rows", 'SELECT ?d WHERE { ?x :documents.doc_id ?d ; :documents.source ?s FILTER(REGEX(?s, "^SRC1[0-9]$", "i")) }', "SELECT doc_id AS d FROM documents WHERE regexp_matches(source, '^src1[0-9]$')")
+sparql("functions_constructors", """SELECT ?k (IRI(CONCAT("urn:x:", ?n)) AS ?iri) (isBlank(BNODE()) AS ?blank) (STRDT(?n, <urn:dt>) AS ?typed) (STRLANG(?n, "en-GB") AS ?tagged) (LANG(STRLANG(?n, "en-GB")) AS ?tag) (LANGMATCHES(LANG(STRLANG(?n, "en-GB")), "en") AS ?match)
+ (STRLEN(STRUUID()) AS ?u) (STRSTARTS(STR(UUID()), "urn:uuid:") AS ?uu) (RAND() >= 0 && RAND() < 1 AS ?r) (YEAR(NOW()) AS ?now) WHERE { ?x :n_nationkey ?k ; :n_name ?n }""",
+       """SELECT n_nationkey::BIGINT AS k, 'urn:x:' || n_name AS iri, true AS blank, '"' || n_name || '"^^<urn:dt>' AS typed, '"' || n_name || '"@en-GB' AS tagged, 'en-GB' AS tag, true AS match, 36 AS u, true AS uu, true AS r, 2000 AS now FROM nation""")
+sparql("functions_time", """PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> SELECT ?k (SECONDS(?d) AS ?s) (TZ("2011-01-10T14:45:13.815-05:00"^^xsd:dateTime) AS ?tz) (STR(TIMEZONE("2011-01-10T14:45:13.815-05:00"^^xsd:dateTime)) AS ?zone) (TZ("2011-01-10T14:45:13Z"^^xsd:dateTime) AS ?utc) WHERE { ?e :events.event_id ?k ; :events.ts ?d }""",
+       "SELECT event_id AS k, round(extract(microseconds FROM ts) / 1e6, 3) AS s, '-05:00' AS tz, '-PT5H' AS zone, 'Z' AS utc FROM events", s="round(CAST(s AS double), 3)")
+sparql("functions_long_hashes", "SELECT ?k (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) (SUBSTR(SHA384(\"abc\"), 1, 16) AS ?c) (SUBSTR(SHA512(\"abc\"), 1, 16) AS ?d) WHERE { ?x :n_nationkey ?k ; :n_name ?n }", "SELECT n_nationkey::BIGINT AS k, 96 AS a, 128 AS b, 'cb00753f45a35e8b' AS c, 'ddaf35a193617aba' AS d FROM nation")
 sparql("filter_logic_errors", "SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER(?missing > 1 || ?b > 5000) }", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000")
 sparql("text_match", 'SELECT ?d WHERE { ?x :documents.text ?t ; :documents.doc_id ?d FILTER(text:match(?t, "THE THE")) }', "SELECT doc_id AS d FROM documents WHERE contains(lower(text), 'the the')")
 
 # paths --------------------------------------------------------------------------------------------------------------------------
 
 sparql("path_sequence_inverse", "SELECT ?r ?k WHERE { ?x :r_name ?r . ?x ^:n_regionkey/^:s_nationkey ?s . ?s :s_suppkey ?k }", "SELECT r_name AS r, s_suppkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
-sparql("path_alternative", "SELECT ?k ?n WHERE { ?x (:s_suppkey|:c_custkey) ?k ; (:s_nationkey|:c_nationkey)/:n_name ?n FILTER(?k < 40) }", "SELECT s_suppkey AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 40 UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 40")
 sparql("path_alternative_whole", "SELECT ?k ?n WHERE { ?x (:s_suppkey|:c_custkey) ?k ; (:s_nationkey|:c_nationkey)/:n_name ?n }", "SELECT s_suppkey AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 sparql("path_closure", "SELECT ?r WHERE { <urn:t:customer/1> (:c_nationkey|:n_regionkey)+ ?r }", "SELECT '<urn:t:nation/' || c_nationkey || '>' AS r FROM customer WHERE c_custkey = 1 UNION SELECT '<urn:t:region/' || n_regionkey || '>' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1")
+sparql("path_closure_from_bound", 'SELECT ?k ?r WHERE { ?c :c_mktsegment "BUILDING" ; :c_custkey ?k ; (:c_nationkey|:n_regionkey)+ ?r }',
+       "SELECT c_custkey AS k, '<urn:t:nation/' || c_nationkey || '>' AS r FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, '<urn:t:region/' || n_regionkey || '>' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+sparql("path_closure_to_bound", 'SELECT ?x ?n WHERE { ?r :r_name ?n . ?x (:s_nationkey|:n_regionkey)* ?r }',
+       "SELECT '<urn:t:region/' || r_regionkey || '>' AS x, r_name AS n FROM region UNION ALL SELECT '<urn:t:nation/' || n_nationkey || '>', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '<urn:t:supplier/' || s_suppkey || '>', r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 sparql("path_closure_to_end", "SELECT ?x WHERE { ?x (:s_nationkey|:n_regionkey)+ <urn:t:region/3> }", "SELECT '<urn:t:nation/' || n_nationkey || '>' AS x FROM nation WHERE n_regionkey = 3 UNION ALL SELECT '<urn:t:supplier/' || s_suppkey || '>' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3")
 sparql("path_zero_or_one", "SELECT ?y WHERE { <urn:t:nation/5> :n_regionkey? ?y }", "SELECT '<urn:t:nation/5>' AS y UNION ALL SELECT '<urn:t:region/' || n_regionkey || '>' FROM nation WHERE n_nationkey = 5")
 sparql("path_zero_or_more", "SELECT ?y WHERE { <urn:t:supplier/2> (:s_nationkey|:n_regionkey)* ?y }", "SELECT '<urn:t:supplier/2>' AS y UNION ALL SELECT '<urn:t:nation/' || s_nationkey || '>' FROM supplier WHERE s_suppkey = 2 UNION ALL SELECT '<urn:t:region/' || n_regionkey || '>' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 2")
@@ -336,3 +357,6 @@ def access_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = spark.createDataFrame([("<urn:g/src1>", "<urn:me>", "read"), ("<urn:g/src2>", "<urn:group>", "read"), ("<urn:g/src3>", access.EVERYBODY, "read"), ("<urn:g/src4>", "<urn:you>", "read")], "resource string, subject string, mode string")
     groups = spark.createDataFrame([("<urn:group>", "<urn:me>")], "group string, member string")
     return access.readable(by_source(spark, sf_dir), access.wac_allowed(grants, "<urn:me>", groups)).select("g", "s", "p", "o")
+
+
+from . import catalog_stores  # noqa: E402, F401  (registers more queries)
