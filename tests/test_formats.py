@@ -18,6 +18,20 @@ def test_turtle():
     assert any(s == "_:nq" for _, s, _, _ in got)
 
 
+def test_turtle_of_rdf_1_2():
+    got = rdf.parse_turtle('VERSION "1.2" @version "1.2" . PREFIX ex: <http://e/> ex:s ex:p ex:o {| ex:by ex:me ; ex:at 1 |}, ex:q ~ ex:r {| ex:by ex:you |} ~ ex:t .')
+    spo = {(s, p, o) for _, s, p, o in got}
+    assert {("<http://e/s>", "<http://e/p>", "<http://e/o>"), ("<http://e/s>", "<http://e/p>", "<http://e/q>"), ("<http://e/r>", "<http://e/by>", "<http://e/you>")} <= spo
+    who = next(s for s, p, o in spo if o == "<http://e/me>")
+    assert (who, f"<{rdf.RDF}subject>", "<http://e/s>") in spo and (who, f"<{rdf.RDF}object>", "<http://e/o>") in spo and any(s == who and p == "<http://e/at>" for s, p, _ in spo)
+    assert all((x, f"<{rdf.RDF}object>", "<http://e/q>") in spo for x in ("<http://e/r>", "<http://e/t>"))
+
+
+def test_negotiation():
+    assert rdf.negotiate("text/turtle;q=0.5, application/n-quads;q=0.9, text/html") == "nquads" and rdf.negotiate("text/html", "trig") == "trig" and rdf.negotiate("*/*") == "turtle"
+    assert rdf.format_of("a/b.nq.gz") == "nquads" and rdf.format_of("x.TTL") == "turtle"
+
+
 def test_trig():
     got = rdf.parse_turtle("@prefix ex: <http://e/> . ex:a ex:p ex:b . ex:g { ex:c ex:p ex:d } GRAPH ex:h { ex:e ex:p 1 } { ex:f ex:p 2 }")
     assert sorted(g for g, *_ in got) == ["", "", "<http://e/g>", "<http://e/h>"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+import time
+from dataclasses import dataclass, fields, is_dataclass, replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -71,10 +73,39 @@ def explain(q: A.Query, df: DataFrame, depth: int = 0) -> str:
     return "\n".join(lines) + "\n\n" + df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def measured(df: DataFrame) -> str:
+    """What EXPLAIN ANALYZE adds: the query is run."""
+    began = time.monotonic()
+    rows = df.count()
+    return f"\n\nrows: {rows}\nseconds: {time.monotonic() - began:.3f}\n"
+
+
+def explain_json(q: A.Query) -> str:
+    """The algebra as JSON: operators with their fields, nested as in the query."""
+
+    def told(x: object) -> object:
+        if is_dataclass(x) and not isinstance(x, type):
+            return {"operator": type(x).__name__.strip("_")} | {f.name: told(getattr(x, f.name)) for f in fields(x) if getattr(x, f.name) not in (None, [], (), False)}
+        if isinstance(x, (list, tuple, set)):
+            return [told(y) for y in x]
+        return x if isinstance(x, (str, int, float, bool)) or x is None else str(x)
+
+    return json.dumps(told(q))
+
+
 def time_now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")[:-3]
 
 
+@dataclass
+class LoadLimits:
+    """What LOAD takes: seconds and bytes of a remote document, and triples of any (None: all)."""
+
+    seconds: float = 30.0
+    bytes: int = 100 << 20
+    triples: int | None = None
+
+
 class Store:
     """Quads with queries and updates. An update adds a delta; nothing that a reader holds changes.
 
@@ -91,6 +122,7 @@ class Store:
         self.spark, self.profile = spark, profile
         self.base, self.deltas = quads if quads is not None else Q.empty(spark), []
         self.services: dict = {}
+        self.limits = LoadLimits()
         self.counts: dict[str, int] = {}  # triples by predicate, after analyze()
         self._saved: tuple[str, list[str]] | None = None  # where base and first deltas already lie
         self._before: list[tuple] = []
@@ -146,7 +178,7 @@ class Store:
         source = Q.QuadSource(Q.view(self.table, q.temporal, now, self.profile), self.counts)
         df = run_query(q, _context(self.spark, source, q, now=now, services=self.services), terms)
         if q.explain:
-            return self.spark.createDataFrame([(explain(q, df),)], "plan string")
+            return self.spark.createDataFrame([(explain(q, df) + (measured(df) if q.explain == "ANALYZE" else ""),)], "plan string")
         return df
 
     def explain(self, text: str) -> str:
@@ -256,10 +288,13 @@ class Store:
             if u.kind == "MOVE":
                 self._apply(W.clear_delta(self.table, F.col("g") == a))
         elif u.kind == "LOAD":
-            from ..sources.rdf import read_rdf
+            from ..sources.rdf import fetched, read_rdf
 
             try:
-                rows = read_rdf(spark, u.source.removeprefix("file://"))
+                remote = u.source.startswith(("http://", "https://"))
+                rows = fetched(spark, u.source, self.limits.seconds, self.limits.bytes) if remote else read_rdf(spark, u.source.removeprefix("file://"))
+                if self.limits.triples is not None and rows.limit(self.limits.triples + 1).count() > self.limits.triples:
+                    raise ValueError(f"{u.source} has more than {self.limits.triples} triples")
                 self.add(rows.select(F.lit(f"<{u.target}>").alias("g") if u.target else F.col("g"), "s", "p", "o"), now)
             except Exception:
                 if not u.silent:

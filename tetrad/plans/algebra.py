@@ -113,6 +113,7 @@ class Service:
     group: Group
     silent: bool
     text: str
+    prologue: str = ""
 
 
 @dataclass

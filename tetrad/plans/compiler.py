@@ -172,7 +172,8 @@ def service(e: A.Service, sol: Solutions, ctx: Context) -> Solutions:
 
     def fetch(iri: str) -> list[dict]:
         try:
-            return ctx.services[iri](e.text, names)
+            f = ctx.services[iri]
+            return f(f"{e.prologue}SELECT * WHERE {e.text}" if getattr(f, "whole", False) else e.text, names)
         except Exception:
             if not e.silent:
                 raise

@@ -103,6 +103,10 @@ class TurtleParser(Parser):
                     self.prefixes[name[:-1]] = self.iri()
                 if kind == "lang":
                     self.need(".")
+            elif kind == "lang" and t == "@version" or self.peek("VERSION"):
+                self.i += 2
+                if kind == "lang":
+                    self.need(".")
             elif self.peek("{"):
                 self.block("")
             elif self.peek("GRAPH") or (kind in ("iri", "name", "blank") and self.toks[self.i + 1][1] == "{"):
@@ -461,4 +465,17 @@ def parse_text(spark: SparkSession, text: str, kind: str, base: str | None = Non
     return spark.createDataFrame(_PARSERS[kind](text, base), QUAD)
 
 
-__all__ = ["SparqlSyntaxError", "format_of", "negotiate", "parse_jsonld", "parse_lines", "parse_rdfxml", "parse_text", "parse_turtle", "read_documents", "read_lines", "read_rdf"]
+def fetched(spark: SparkSession, url: str, seconds: float, most_bytes: int) -> DataFrame:
+    """Quads of a remote document, read by the driver; its type, or else its name, tells the format."""
+    import urllib.request
+
+    asked = urllib.request.Request(url, headers={"Accept": ", ".join(MEDIA_TYPES)})
+    with urllib.request.urlopen(asked, timeout=seconds) as r:
+        data = r.read(most_bytes + 1)
+        kind = MEDIA_TYPES.get(r.headers.get("Content-Type", "").split(";")[0].strip()) or format_of(url.split("?")[0])
+    if len(data) > most_bytes:
+        raise ValueError(f"{url} has more than {most_bytes} bytes")
+    return parse_text(spark, decompressed(url, data).decode(), kind, url)
+
+
+__all__ = ["SparqlSyntaxError", "fetched", "format_of", "negotiate", "parse_jsonld", "parse_lines", "parse_rdfxml", "parse_text", "parse_turtle", "read_documents", "read_lines", "read_rdf"]
