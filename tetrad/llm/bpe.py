@@ -163,10 +163,7 @@ class Pieces:
         """Ids of each text, little-endian uint32."""
         cut = [t.split(" ") if self.spaced and not _KNOTTY.search(t) else [t] for t in texts]
         first = [self.find(c[0]) for c in cut]
-        self.parts.want(p for c in cut for p in c[1:])
-        self.words.want(w for f in first for w in f)
-        word, part = self.words.__getitem__, self.parts.__getitem__
-        return [b"".join(map(word, f)) + b"".join(map(part, c[1:])) for f, c in zip(first, cut)]
+        return [b"".join(f) + b"".join(c) for f, c in zip(self.words.lists(first), self.parts.lists([c[1:] for c in cut]))]
 
 
 def _pieces(vocabulary: bytes, pattern: str, spaced: bool) -> Pieces:

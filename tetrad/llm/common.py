@@ -140,6 +140,15 @@ class Cache(dict):
         self.bytes += sum(map(len, missing)) + sum(map(self.size, values)) + ENTRY * len(missing)
         self.update(zip(missing, values))
 
+    def lists(self, rows: list[list]) -> list[list]:
+        """The values of lists of keys. What is known is looked up once."""
+        found = [list(map(self.get, r)) for r in rows]
+        holes = [i for i, f in enumerate(found) if None in f]
+        self.want(k for i in holes for k, x in zip(rows[i], found[i]) if x is None)
+        for i in holes:
+            found[i] = [self[k] if x is None else x for k, x in zip(rows[i], found[i])]
+        return found
+
 
 class Numbers(dict):
     """Numbers its keys in the order in which they are first asked for; ``new`` collects the unseen ones, ``bytes`` is about

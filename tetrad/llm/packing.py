@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import MOST_BYTES, Cache, ddl, held, record, ship, split_batch, texts
+from .common import Cache, ddl, held, record, ship, split_batch, texts
+
+#: Bytes of pieces between white space that a worker remembers.
+MOST_BYTES = 160 << 20
 
 OUT = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "bucket": pa.int32()}
 
@@ -59,17 +62,7 @@ class WordCoder:
             if t not in special:
                 self.id_of[ranks[ended(t)]] = i.to_bytes(4, "little")
         self.piece = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words = Cache(lambda words: [self._word(w) for w in words], most)
-        self.chunks = Cache(self._chunks, most)
-
-    def _chunks(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces between white space."""
-        out = []
-        for a in range(0, len(pieces), 50_000):
-            words = [[p] if p.isalpha() else self.find(p) for p in pieces[a : a + 50_000]]
-            self.words.want(w for ws in words for w in ws)
-            out += [b"".join([self.words[w] for w in ws]) for ws in words]
-        return out
+        self.chunks = Cache(lambda pieces: [b"".join(map(self._word, (p,) if p.isalpha() else self.find(p))) for p in pieces], most)
 
     def _word(self, word: str) -> bytes:
         if "\0" in word:
@@ -81,9 +74,7 @@ class WordCoder:
         lower = [t.lower() if "<" in t else "" for t in texts]
         odd = [not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f") or any(x in u for x in self.special) for t, u in zip(texts, lower)]
         cut = [[] if o else (t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower().split() for t, o in zip(texts, odd)]
-        self.chunks.want(p for c in cut for p in c)
-        at = self.chunks.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(at, c)) for t, o, c in zip(texts, odd, cut)]
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(ids) for t, o, ids in zip(texts, odd, self.chunks.lists(cut))]
 
 
 def coder(vocabulary: bytes) -> WordCoder:

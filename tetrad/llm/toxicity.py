@@ -135,8 +135,7 @@ class Model:
 
     def codes(self, chunks: list[str]) -> list[int]:
         memory = held(("toxicity", self), lambda: Cache(lambda words: list(map(self.code, words)), size=lambda code: 0))
-        memory.want(chunks)
-        return list(map(memory.__getitem__, chunks))
+        return memory.lists([chunks])[0]
 
     def features(self, text: str) -> tuple[list[float], int, int]:
         """(features, hits, quoted hits). A hit counts less in quotation or report, more beside other hits or an address."""
