@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, block_count, ddl, in_blocks, release, ship, texts
+from .common import BLOCK_BYTES, block_count, ddl, forget, in_blocks, release, ship, texts
 from .words import hashed_words, mixed
 
 ORDER, BACKOFF = 3, 0.4
@@ -141,6 +141,7 @@ class Grams:
 
 def _block(table: pa.Table, order: int, bits: int):
     """(sizes of the texts, document of each word, an iterator of Grams by order)."""
+    forget("backoff")
     words, sizes = hashed_words(table.column("text").to_pylist())
     of = np.repeat(np.arange(len(sizes)), sizes)
     return sizes, of, (Grams(keys, of) for keys in ngrams(words, sizes, order, bits))

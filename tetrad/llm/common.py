@@ -18,11 +18,23 @@ from pyspark.sql import functions as F
 #: Text bytes that one block of documents aims at; bounds a Python worker's memory.
 BLOCK_BYTES = 8 << 20
 
+#: Checkpoints after which the driver collects its garbage: only then does Spark remove the files of earlier rounds' shuffles
+#: and checkpoints, which otherwise stay for half an hour.
+CLEAN_EVERY = 8
+_checkpoints = 0
+
 _ROOT = Path(__file__).resolve().parents[2]
 
 
+#: Rows of an Arrow batch, of Spark's own 10,000: a batch of texts is held by the JVM and the worker, each twice for a while.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it on their path."""
+    """Make this package importable on executors that do not have it on their path, and bound batches of texts."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if str(_ROOT) in paths or os.getcwd() == str(_ROOT) or getattr(spark, "_tetrad_shipped", False):
         return
@@ -50,7 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tetrad-ckpt-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    global _checkpoints
+    _checkpoints += 1
+    if _checkpoints % CLEAN_EVERY == 0:
+        gc.collect()
+        sc._jvm.System.gc()
+    return out
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -109,6 +127,11 @@ def held(key, make):
     return _HELD[key]
 
 
+def forget(key: str) -> None:
+    """Called by an operator that remembers nothing: frees what another one has left."""
+    held(key, lambda: True)
+
+
 def release() -> None:
     """Give what is free back to the system: arrays of a few MB otherwise stay with the allocator."""
     pa.default_memory_pool().release_unused()

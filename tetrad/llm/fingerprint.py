@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, ddl, ship, split_batch, texts
+from .common import BLOCK_BYTES, block_count, ddl, forget, ship, split_batch, texts
 from .words import hashed_words, mixed
 
 SAMPLES = 64
@@ -177,6 +177,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, block_bytes:
 
     def compared(rows: list[tuple]) -> pa.RecordBatch:
         """The results of all rows (doc_id, text) but the last, which is the next one of the row before."""
+        forget("fingerprints")
         bodies = [t for _, t in rows]
         edited = [edit(t, u) for t, u in zip(bodies, bodies[1:])]
         s = signatures(batch_terms(bodies + edited), samples)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, checkpointed, ship, split_batch, texts
+from .common import attached, checkpointed, forget, ship, split_batch, texts
 from .components import components
 from .words import hashed_words, mixed
 
@@ -39,6 +39,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(bodies: list[str], n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: n words, or all of fewer."""
+    forget("minhash")
     h, sizes = hashed_words(bodies)
     m = max(0, len(h) - n + 1)
     roll = np.zeros(m, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import Cache, ddl, held, record, ship, split_batch, texts
 
 #: Bytes of pieces between white space that a worker remembers.
-MOST_BYTES = 160 << 20
+MOST_BYTES = 112 << 20
 
 OUT = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "bucket": pa.int32()}
 

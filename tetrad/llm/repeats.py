@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, ddl, in_blocks, ship, texts
+from .common import block_count, ddl, forget, in_blocks, release, ship, texts
 from .suffix import permuted_common_prefixes, suffix_array
 from .words import mixed
 
@@ -145,6 +145,7 @@ class Block:
     """A block's rows by (doc_id, tag), end to end as bytes."""
 
     def __init__(self, table: pa.Table):
+        forget("repeats")
         order = table.select(["doc_id", "tag"]).to_pandas().sort_values(["doc_id", "tag"], kind="stable", na_position="first").index.to_numpy()
         table = table.take(pa.array(order))
         self.rows = table
@@ -307,7 +308,9 @@ def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK, shard_bytes: int =
         entries["count"] = entries["count"].astype(np.int64)
         strings = np.frombuffer(b"".join(table.column("strings").to_pylist()), np.uint8)
         sizes = entries["count"] + LENGTH - 1
+        forget("repeats")
         bits = _judge(entries, strings, np.cumsum(sizes) - sizes)
+        release()
         cut = np.cumsum([len(x) for x in lots["same"]])
         return _table(_BITS, [(b, s, np.packbits(x, axis=1).tobytes()) for b, s, x in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), np.split(bits, cut[:-1]))])
 
