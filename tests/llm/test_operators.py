@@ -509,6 +509,48 @@ def test_equal_identities_are_compared_by_bytes(spark, monkeypatch):
     assert len(by) > 8 and all(len(x) == 1 for x in by.values())
 
 
+def test_only_strings_that_may_recur_are_sorted(monkeypatch):
+    r = np.random.default_rng(3)
+    text = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    phrase, passage = text(60), text(130)
+    # a phrase too short to be a repeat, and a passage in three texts that lacks its ends in one
+    rows = [(i, text(150) + phrase + text(150)) for i in range(40)] + [(50, text(99) + passage + text(99)), (51, text(99) + passage + text(99)), (52, text(99) + passage[10:-5] + text(99))]
+    block = repeats.Block(repeats.pa.table({"doc_id": [i for i, _ in rows], "tag": [0] * len(rows), "text": [t for _, t in rows]}))
+    z, sizes, sorted_at = block.stretches, block.stretches.count + 99, []
+    row = np.searchsorted(block.ends, z.start, side="right")
+    begin = z.start - np.concatenate([[0], block.ends[:-1]])[row]
+    plain = repeats.suffix_array
+    monkeypatch.setattr(repeats, "suffix_array", lambda t: sorted_at.append(len(t)) or plain(t))
+    strings = np.concatenate([block.flat[a : a + n] for a, n in zip(z.start, sizes)])
+    entries = {"anchor": z.anchor, "same": z.same, "count": z.count, "doc": block.id[row], "tag": block.tag[row], "start": begin}
+    bits = repeats._judge(entries, strings, np.cumsum(sizes) - sizes)
+    seen, want = set(), np.zeros_like(bits)
+    for i in np.argsort(z.start):
+        for k in range(z.count[i]):
+            w = block.flat[z.start[i] + k : z.start[i] + k + 100].tobytes()
+            want[i, k] = w not in seen
+            seen.add(w)
+    assert (bits == want).all() and not want[:, :69].all()
+    # at most the passage and its cuts, each anchor's stretches apart; every text with the phrase was sorted before
+    assert 0 < sum(sorted_at) < 2_000
+
+
+def test_hashes_do_not_depend_on_the_place():
+    t = np.random.default_rng(4).integers(0, 256, 2 * repeats.STEP + 300).astype(np.uint8)
+    h = repeats.Hashes(t)
+    plain = lambda w: sum((int(b) + 1) * pow(repeats._B, len(w) - 1 - i, 1 << 64) for i, b in enumerate(w)) % (1 << 64)
+    at = np.array([0, 1, repeats.STEP - 50, repeats.STEP, 2 * repeats.STEP + 7, len(t) - 100])
+    assert h.at(at, 100).tolist() == [plain(t[a : a + 100]) for a in at]
+    assert h.row(repeats.STEP, 200, 32).tolist() == h.at(np.arange(200) + repeats.STEP, 32).tolist()
+    # the stretches of a text are the same wherever it lies, over bounds of steps too
+    one, size = t[: repeats.STEP + 500], repeats.STEP + 500
+    alone = repeats.Stretches(one, np.array([size]))
+    moved = repeats.Stretches(np.concatenate([t[:777], one]), np.array([777, 777 + size]))
+    mine = moved.start >= 777
+    assert (moved.start[mine] - 777).tolist() == alone.start.tolist()
+    assert all((getattr(moved, k)[mine] == getattr(alone, k)).all() for k in ("count", "at", "anchor", "same"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(2, 9))
 def test_recursion_of_suffix_arrays(values, base):

@@ -6,12 +6,13 @@ have equal anchors at equal places. Neighbouring strings with one anchor form a
 
 1. Every block of documents tells the anchors that it has; anchors seen in one place only are done with.
 2. The distinct stretches of the other anchors go to the anchor's shard, one for each block that has them, with their first
-   place there. A shard sorts the suffixes of its stretches by induced sorting, computes permuted common prefixes, takes
-   neighbours that share 100 bytes together and finds the first place of every string.
+   place there. A shard leaves out strings whose hash no other has, which equal none, sorts the suffixes of the rest by induced
+   sorting, computes permuted common prefixes, takes neighbours that share 100 bytes together and finds the first place of every
+   string.
 3. Each block learns which of its strings come first in the corpus, and cuts out what all others cover.
 
 Strings are compared by their bytes: stretches of one identity when they meet, all others in the suffix array. Hashes only
-decide what meets where.
+decide what meets where, and what meets nothing.
 """
 
 from __future__ import annotations
@@ -37,32 +38,47 @@ OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_
 _B = 0x9E3779B97F4A7C15
 
 
+#: Places whose hashes are computed together (a power of two): their arrays stay in a core's cache.
+STEP = 1 << 15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_B, STEP + LENGTH), _powers(pow(_B, -1, 1 << 64), STEP)
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_B, n, 1 << 64))
 
 
-def window_hashes(t: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Polynomial hashes of all windows of each size (sums of powers of two), by doubling."""
-    h, k, parts, out = t.astype(np.uint64) + np.uint64(1), 1, {}, []
-    while k <= max(sizes):
-        if any(size & k for size in sizes):
-            parts[k] = h
-        if len(h) <= k:
-            break
-        h = h[:-k] * _power(k) + h[k:]
-        k *= 2
-    for size in sizes:
-        got, done = None, 0
-        for p in sorted((1 << b for b in range(size.bit_length()) if size >> b & 1), reverse=True):
-            m = len(t) - size + 1
-            if m <= 0:
-                got = np.zeros(0, np.uint64)
-                break
-            piece = parts[p][done : done + m]
-            got = piece if got is None else got * _power(p) + piece
-            done += p
-        out.append(got)
-    return out
+class Hashes:
+    """Polynomial hashes of the windows of bytes, as differences of sums in which byte i counts ``_B ** -i`` times."""
+
+    def __init__(self, t: np.ndarray):
+        self.sums = np.zeros(len(t) + 1, np.uint64)
+        for a in range(0, len(t), STEP):
+            part = t[a : a + STEP].astype(np.uint64)
+            part += np.uint64(1)
+            part *= _DOWN[: len(part)]
+            part *= _power(-a)
+            np.cumsum(part, out=part)
+            np.add(part, self.sums[a], out=self.sums[a + 1 : a + 1 + len(part)])
+        self.up = np.array([_power(a) for a in range(0, len(t) + 1, STEP)], np.uint64)
+
+    def at(self, start: np.ndarray, size: int) -> np.ndarray:
+        """Of the windows of ``size`` bytes from the starts."""
+        return (self.sums[start + size] - self.sums[start]) * _UP[start & STEP - 1] * self.up[start // STEP] * _power(size - 1)
+
+    def row(self, a: int, n: int, size: int) -> np.ndarray:
+        """Of the n windows (STEP + LENGTH at most) from place a on."""
+        out = self.sums[a + size : a + size + n] - self.sums[a : a + n]
+        out *= _UP[:n]
+        out *= _power(a + size - 1)
+        return out
 
 
 class Stretches:
@@ -78,33 +94,36 @@ class Stretches:
         m = len(flat) - LENGTH + 1
         if m <= 0:
             return
-        whole, piece = window_hashes(flat, (LENGTH, PIECE))
-        piece = mixed(piece)
-        # a hash's high bits before its place: the least is the leftmost of equal ones
-        low = (piece >> np.uint64(28) << np.uint64(28)) | np.arange(len(piece), dtype=np.uint64)
-        width, k = LENGTH - PIECE + 1, 1
-        while 2 * k <= width:
-            low = np.minimum(low[:-k], low[k:])
-            k *= 2
-        low = np.minimum(low[:m], low[width - k : width - k + m])
-        place = (low & np.uint64((1 << 28) - 1)).astype(np.int64)
+        hashes, width, tail = Hashes(flat), LENGTH - PIECE + 1, np.uint64((1 << 16) - 1)
+        place, numbers = np.empty(m, np.int64), np.arange(STEP + width, dtype=np.uint64)
+        for a in range(0, m, STEP):
+            n = min(STEP, m - a)
+            low = mixed(hashes.row(a, n + width - 1, PIECE))
+            # a hash's high bits before its place: the least is the leftmost of equal ones
+            low &= ~tail
+            low |= numbers[: len(low)]
+            k = 1
+            while 2 * k <= width:
+                low = np.minimum(low[:-k], low[k:])
+                k *= 2
+            low = np.minimum(low[:n], low[width - k : width - k + n])
+            low &= tail
+            np.add(low.view(np.int64), a, out=place[a : a + n])
         valid = np.ones(m, bool)
-        first = np.concatenate([[0], ends[:-1]])
-        edge = np.zeros(m + 1, np.int64)
-        a, b = np.minimum(np.maximum(ends - LENGTH + 1, first), m), np.minimum(ends, m)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-        valid = np.cumsum(edge[:-1]) == 0
-        new = valid.copy()
-        new[1:] &= (place[1:] != place[:-1]) | ~valid[:-1]
-        stop = valid.copy()
-        stop[:-1] &= new[1:] | ~valid[1:]
+        for first, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            valid[max(first, end - LENGTH + 1) : end] = False
+        # bounds between places that do not belong to one stretch
+        apart = np.ones(m + 1, bool)
+        np.not_equal(place[1:], place[:-1], out=apart[1:-1])
+        new, stop = valid & apart[:-1], valid & apart[1:]
+        new[1:] |= valid[1:] & ~valid[:-1]
+        stop[:-1] |= valid[:-1] & ~valid[1:]
         self.start = np.flatnonzero(new)
         last = np.flatnonzero(stop)
         self.count = last - self.start + 1
         self.at = place[self.start] - self.start
-        self.anchor = piece[place[self.start]]
-        self.same = mixed(self.anchor ^ mixed(whole[self.start] + (self.at.astype(np.uint64) << np.uint64(8)) + self.count.astype(np.uint64)) ^ (whole[last] * np.uint64(_B)))
+        self.anchor = mixed(hashes.at(place[self.start], PIECE))
+        self.same = mixed(self.anchor ^ mixed(hashes.at(self.start, LENGTH) + (self.at.astype(np.uint64) << np.uint64(8)) + self.count.astype(np.uint64)) ^ (hashes.at(last, LENGTH) * np.uint64(_B)))
 
     def only(self, keep: np.ndarray) -> None:
         for k in ("start", "count", "at", "anchor", "same"):
@@ -141,6 +160,15 @@ def told_apart(same: np.ndarray, start: np.ndarray, sizes: np.ndarray, flat: np.
     return told_apart(same, start, sizes, flat)
 
 
+def _bytes(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes end to end, and where each ends."""
+    text = pa.concat_arrays(text.cast(pa.large_binary()).chunks) if text.num_chunks else pa.array([], pa.large_binary())
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return flat, ends[1:] - ends[0]
+
+
 class Block:
     """A block's rows by (doc_id, tag), end to end as bytes."""
 
@@ -151,12 +179,15 @@ class Block:
         self.rows = table
         self.doc_id = table.column("doc_id")
         self.tag = np.asarray(table.column("tag"))
-        self.raw = [t.encode() for t in table.column("text").to_pylist()]
-        self.ends = np.cumsum([len(r) for r in self.raw])
-        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.flat, self.ends = _bytes(table.column("text"))
         self.id = np.asarray(self.doc_id.combine_chunks().fill_null(-(2**63)) if isinstance(self.doc_id, pa.ChunkedArray) else self.doc_id.fill_null(-(2**63)))
         self.stretches = Stretches(self.flat, self.ends)
 
+    def texts(self, gone: np.ndarray):
+        """(bytes, which of them are gone) of each row."""
+        for a, b in zip([0, *self.ends[:-1].tolist()], self.ends.tolist()):
+            yield self.flat[a:b], gone[a:b]
+
     def shard(self, n: int) -> np.ndarray:
         return (self.stretches.anchor % np.uint64(n)).astype(np.int64)
 
@@ -188,15 +219,28 @@ def _groups(key: np.ndarray):
         yield int(key[order[a]]), order[a:b]
 
 
+def _recurs(hashes: np.ndarray) -> np.ndarray:
+    """Where another of the hashes is the same."""
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(hashes), bool)
+    out[order[1:][equal]] = out[order[:-1][equal]] = True
+    return out
+
+
 def _judge(entries: dict[str, np.ndarray], strings: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits (row: entry, column: string of its stretch) of the strings whose first place in the corpus is the entry's.
 
     entries: anchor, same, count, doc, tag, start. Equal stretches are taken together beforehand; the suffixes of the
-    different ones are sorted, and strings that share LENGTH bytes are one.
+    different ones are sorted, and strings that share LENGTH bytes are one. A string whose hash no other has equals none and
+    comes first where it is; of a stretch only what lies between other strings is sorted.
     """
     n = len(entries["same"])
     entries["same"] = told_apart(entries["same"], offsets, entries["count"] + LENGTH - 1, strings)
-    key = np.lexsort((entries["start"], entries["tag"], entries["doc"], entries["same"]))
+    corpus = np.lexsort((entries["start"], entries["tag"], entries["doc"]))
+    rank = np.empty(n, np.int64)
+    rank[corpus] = np.arange(n)
+    key = corpus[np.argsort(entries["same"][corpus], kind="stable")]
     lead = key[np.concatenate([[True], entries["same"][key][1:] != entries["same"][key][:-1]])] if n else key
     bits = np.zeros((n, LENGTH - PIECE + 1), bool)
     count = entries["count"][lead]
@@ -204,40 +248,44 @@ def _judge(entries: dict[str, np.ndarray], strings: np.ndarray, offsets: np.ndar
     _, place, times = np.unique(entries["anchor"][lead], return_inverse=True, return_counts=True)
     alone = times[place] == 1
     bits[lead[alone]] = np.arange(bits.shape[1])[None, :] < count[alone][:, None]
-    lead, count = lead[~alone], count[~alone]
-    a = 0
+    lead = lead[~alone]
+    lead = lead[np.argsort(entries["anchor"][lead], kind="stable")]
+    bounds, a = np.cumsum(entries["count"][lead] + LENGTH), 0
     while a < len(lead):  # lots of whole anchors of about LOT bytes
-        order = np.argsort(entries["anchor"][lead], kind="stable") if a == 0 else order
-        size = np.cumsum(count[order][a:] + LENGTH)
-        b = a + max(1, int(np.searchsorted(size, LOT)))
-        while b < len(lead) and entries["anchor"][lead[order[b]]] == entries["anchor"][lead[order[b - 1]]]:
+        b = max(a + 1, int(np.searchsorted(bounds, (bounds[a - 1] if a else 0) + LOT)))
+        while b < len(lead) and entries["anchor"][lead[b]] == entries["anchor"][lead[b - 1]]:
             b += 1
-        some = lead[order[a:b]]
-        a = b
-        sizes = entries["count"][some] + LENGTH - 1
-        first = np.cumsum(sizes + 1) - sizes - 1
-        text = np.zeros(first[-1] + sizes[-1] + 1, np.uint16)  # a 0 ends each stretch
-        to = np.repeat(first, sizes) + _ramp(sizes)
-        text[to] = strings[np.repeat(offsets[some], sizes) + _ramp(sizes)].astype(np.uint16) + 1
-        suffixes = suffix_array(text)
-        starts = np.repeat(first, entries["count"][some]) + _ramp(entries["count"][some])
-        is_start = np.zeros(len(text), bool)
-        is_start[starts] = True
-        narrow = np.where(text > 0, text - 1, 0).astype(np.uint8)  # ends do not matter: only strings within stretches are held together
-        common = permuted_common_prefixes(narrow, suffixes, LENGTH)
-        told = is_start[suffixes]
-        previous_ok = np.concatenate([[False], told[:-1]])[told]  # equal strings stand side by side, all within stretches
-        suffixes = suffixes[told]
-        previous_ok &= common[suffixes] >= LENGTH
-        of = np.repeat(some, entries["count"][some])
-        where = np.full(len(text), -1)
-        where[starts] = np.arange(len(starts))
-        who = where[suffixes]
-        group = np.cumsum(~previous_ok)
-        entry, step = of[who], _ramp(entries["count"][some])[who]
-        least = np.lexsort((entries["start"][entry] + step, entries["tag"][entry], entries["doc"][entry], group))
-        head = least[np.concatenate([[True], group[least][1:] != group[least][:-1]])]
-        bits[entry[head], step[head]] = True
+        some, a = lead[a:b], b
+        count = entries["count"][some]
+        sizes, own, step = count + LENGTH - 1, np.repeat(some, count), _ramp(count)
+        lot, first = strings[np.repeat(offsets[some], sizes) + _ramp(sizes)], np.cumsum(sizes) - sizes
+        again = _recurs(Hashes(lot).at(np.repeat(first, count) + step, LENGTH))
+        bits[own[~again], step[~again]] = True
+        # of each stretch, what lies between its first and last string that may have an equal
+        low, high = np.where(again, step, LENGTH), np.where(again, step, -1)
+        row = np.cumsum(count) - count
+        low, high = np.minimum.reduceat(low, row), np.maximum.reduceat(high, row)
+        live = high >= low
+        if not live.any():
+            continue
+        some, count, low, first = some[live], (high - low + 1)[live], low[live], first[live]
+        sizes = count + LENGTH - 1
+        to = np.cumsum(sizes + 1) - sizes - 1
+        narrow = np.zeros(to[-1] + sizes[-1] + 1, np.uint8)  # ends do not matter: only strings within stretches are held together
+        is_in = np.ones(len(narrow), bool)
+        is_in[to + sizes] = False
+        narrow[is_in] = lot[np.repeat(first + low, sizes) + _ramp(sizes)]
+        suffixes = suffix_array(np.where(is_in, narrow + np.uint16(1), np.uint16(0)))  # a 0 ends each stretch
+        which = np.full(len(narrow), -1, np.int32)
+        which[np.repeat(to, count) + _ramp(count)] = np.arange(count.sum())
+        common = permuted_common_prefixes(narrow, suffixes, LENGTH)[suffixes] >= LENGTH
+        which = which[suffixes]
+        told = which >= 0
+        common[1:] &= told[:-1]  # equal strings stand side by side, all within stretches
+        group, which = np.flatnonzero(~common[told]), which[told]
+        place = ((rank[some] << 8)[:, None] + low[:, None] + np.arange(bits.shape[1]))[np.arange(bits.shape[1]) < count[:, None]][which]
+        least = np.minimum.reduceat(place, group)
+        bits[corpus[least >> 8], least & 255] = True
     return bits
 
 
@@ -361,13 +409,12 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
         block, gone = marked(left, right)
         rows: dict = {k: [] for k in out}
         rows["doc_id"] = block.doc_id
-        for raw, end in zip(block.raw, block.ends):
-            mask = gone[end - len(raw) : end]
-            n = int(mask.sum())
-            rest = np.frombuffer(raw, np.uint8)[~mask].tobytes() if n else raw
+        for raw, mask in block.texts(gone):
+            n = int(np.count_nonzero(mask))
+            rest = raw[~mask].tobytes() if n else raw.tobytes()
             rows["n_bytes"].append(len(raw))
             rows["n_removed"].append(n)
-            rows["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+            rows["n_spans"].append(int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0)
             rows["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
             if keep:
                 rows["kept"].append(rest)
@@ -391,7 +438,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         if not left.num_rows:
             return left.select(["__row"]).append_column("__kept", pa.array([], pa.string()))
         block, gone = marked(left, right)
-        kept = [np.frombuffer(raw, np.uint8)[~gone[end - len(raw) : end]].tobytes().decode(errors="ignore") for raw, end in zip(block.raw, block.ends)]
+        kept = [raw[~mask].tobytes().decode(errors="ignore") for raw, mask in block.texts(gone)]
         return block.rows.select(["__row"]).append_column("__kept", pa.array(kept, pa.string()))
 
     schema = T.StructType([T.StructField("__row", rest), T.StructField("__kept", T.StringType())])

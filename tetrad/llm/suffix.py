@@ -18,14 +18,11 @@ BASE = 1024
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where a suffix is of type S. The last character is the sole least one, a sentinel."""
-    n = len(t)
-    differs = np.flatnonzero(t[:-1] != t[1:])
-    small = np.zeros(n, bool)
-    nxt = np.searchsorted(differs, np.arange(n - 1))
-    at = differs[np.minimum(nxt, len(differs) - 1)] if len(differs) else np.zeros(n - 1, np.int64)
-    small[:-1] = t[at] < t[at + 1]
-    small[-1] = True
-    return small
+    if len(t) == 1:
+        return np.ones(1, bool)
+    differs = np.flatnonzero(t[:-1] != t[1:])  # the last is before the sentinel
+    rises = t[differs] < t[differs + 1]
+    return np.append(np.repeat(rises, np.diff(differs, prepend=-1)), True)
 
 
 class _Buckets:
@@ -38,55 +35,65 @@ class _Buckets:
         self.from_end = from_end
 
     def append(self, chars: np.ndarray, entries: np.ndarray) -> None:
-        order = np.argsort(chars, kind="stable")
-        chars, entries = chars[order], entries[order]
-        start = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-        rank = np.arange(len(chars)) - np.repeat(start, np.diff(start, append=len(chars)))
+        order = chars.argsort(kind="stable")
+        chars = chars[order]
+        new = np.empty(len(chars), bool)
+        new[0] = True
+        np.not_equal(chars[1:], chars[:-1], out=new[1:])
+        start = new.nonzero()[0]
+        chars, size = chars[start], np.empty(len(start), np.int64)
+        size[-1] = len(order) - start[-1]
+        np.subtract(start[1:], start[:-1], out=size[:-1])
+        place = np.arange(len(order))
         if self.from_end:
-            self.array[self.fill[chars] - 1 - rank] = entries
-            self.fill[chars[start]] -= np.diff(start, append=len(chars))
+            place = (self.fill[chars] - 1 + start).repeat(size) - place
+            self.fill[chars] -= size
         else:
-            self.array[self.fill[chars] + rank] = entries
-            self.fill[chars[start]] += np.diff(start, append=len(chars))
+            place += (self.fill[chars] - start).repeat(size)
+            self.fill[chars] += size
+        self.array[place] = entries[order]
+
+
+def _before(t: np.ndarray, small: np.ndarray, of: bool) -> np.ndarray:
+    """For each suffix the first character of the one that begins before it, 0 unless that is of the type (only the sentinel's
+    character is 0, which no suffix follows)."""
+    out = np.zeros_like(t)
+    np.multiply(t[:-1], small[:-1] == of, out=out[1:])
+    return out
 
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The order of all suffixes, from LMS suffixes in an order that is right within each bucket."""
     large = _Buckets(np.bincount(t[~small], minlength=sigma), False)
     by_char = lms[np.argsort(t[lms], kind="stable")]
-    cut = np.searchsorted(t[by_char], np.arange(sigma + 1))
+    cut = np.searchsorted(t[by_char], np.arange(sigma + 1)).tolist()
     chars = np.flatnonzero(np.bincount(t, minlength=sigma)).tolist()
+    first, before = large.first.tolist(), _before(t, small, False)
+
+    def induced(into: _Buckets, batch: np.ndarray) -> None:
+        char = before[batch]
+        some = char.nonzero()[0]
+        if len(some):
+            into.append(char[some], batch[some] - 1)
+
     for c in chars:
-        done = large.first[c]
-        while done < large.fill[c]:  # entries that the bucket gets from itself come next in it
-            batch = large.array[done : large.fill[c]]
-            done = large.fill[c]
-            before = batch[batch > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                large.append(t[before], before)
-        batch = by_char[cut[c] : cut[c + 1]]
-        before = batch[batch > 0] - 1
-        before = before[~small[before]]
-        if len(before):
-            large.append(t[before], before)
+        done = first[c]
+        while done < (fill := int(large.fill[c])):  # entries that the bucket gets from itself come next in it
+            batch, done = large.array[done:fill], fill
+            induced(large, batch)
+        if cut[c] < cut[c + 1]:
+            induced(large, by_char[cut[c] : cut[c + 1]])
     tiny = _Buckets(np.bincount(t[small], minlength=sigma), True)
     last = len(t) - 1
     tiny.append(t[[last]], np.array([last]))
+    end, before = tiny.first.tolist(), _before(t, small, True)
     for c in reversed(chars):
-        done = tiny.first[c + 1]
-        while done > tiny.fill[c]:
-            batch = tiny.array[tiny.fill[c] : done][::-1]
-            done = tiny.fill[c]
-            before = batch[batch > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                tiny.append(t[before], before)
-        batch = large.array[large.first[c] : large.first[c + 1]][::-1]
-        before = batch[batch > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            tiny.append(t[before], before)
+        done = end[c + 1]
+        while done > (fill := int(tiny.fill[c])):
+            batch, done = tiny.array[fill:done][::-1], fill
+            induced(tiny, batch)
+        if first[c] < first[c + 1]:
+            induced(tiny, large.array[first[c] : first[c + 1]][::-1])
     out = np.empty(len(t), np.int32)
     sizes = np.diff(large.first) + np.diff(tiny.first)
     start = np.cumsum(sizes) - sizes
@@ -134,15 +141,18 @@ def _doubled(rank: np.ndarray) -> np.ndarray:
 def _reduced(rank: np.ndarray, above: int) -> np.ndarray:
     """Order of the suffixes of a string of names, by recursion. above: length of the string it was reduced from.
 
-    With digits the string may fail to be shorter than ``above`` (LMS positions at every second place throughout); only then
-    its ranks are doubled.
+    With digits the string may fail to be shorter than ``above`` (LMS positions at every second place throughout); then, and
+    where names are so few that passes over the buckets would cost more, ranks are doubled.
     """
+    if len(rank) < BASE * BASE >> 4:
+        return _doubled(rank)
     digits, most = 1, int(rank.max())
     while most >= BASE**digits:
         digits += 1
     if digits * len(rank) > 0.9 * above:
         return _doubled(rank)
-    string = rank[:, None] // BASE ** np.arange(digits - 1, -1, -1) % BASE
+    base = round(most ** (1 / digits)) + 1  # as few buckets as these digits need
+    string = rank[:, None] // base ** np.arange(digits - 1, -1, -1) % base
     order = suffix_array(string.ravel())
     return order[order % digits == 0] // digits
 
@@ -150,8 +160,10 @@ def _reduced(rank: np.ndarray, above: int) -> np.ndarray:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes of an array of small integers."""
     n = len(text)
-    t = np.concatenate([text.astype(np.int32) + 1, np.zeros(1, np.int32)])
-    sigma = int(t.max()) + 1
+    sigma = int(text.max()) + 2 if n else 1
+    t = np.zeros(n + 1, np.uint16 if sigma < 1 << 16 else np.int32)  # short integers are sorted by their digits
+    t[:-1] = text
+    t[:-1] += 1
     small = classify(t)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
@@ -174,16 +186,19 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) ->
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
     padded = np.concatenate([text.astype(np.uint8), np.zeros(most + 16, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    word = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(phi >= 0)
-    k = 0
+    other, k = phi[live], 0
     while len(live) and k < most:
-        a, b = word[live + k], word[phi[live] + k]
-        equal = a == b
-        whole = equal.all(1)
-        out[live] += np.where(whole, 8, equal.argmin(1))
-        live = live[whole]
+        apart = word[live + k] ^ word[other + k]
+        whole = apart == 0
+        at = np.flatnonzero(~whole)
+        low = apart[at]
+        # the lowest set bit is a power of two, whose exponent a double shows
+        out[live[at]] = k + (np.frexp((low & (~low + np.uint64(1))).astype(np.float64))[1] - 1 >> 3)
+        live, other = live[whole], other[whole]
         k += 8
+    out[live] = k
     # neither side reads past the text's end
     return np.minimum(out, np.minimum(most, np.minimum(n - np.arange(n), np.where(phi >= 0, n - phi, 0))))
